@@ -6,19 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import minhash
+from tessera.llm import minhash, sentencepiece_io, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_io.encode_documents(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
+def op9_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokenbin.token_files(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_sentencepiece_coding": op6_sentencepiece_coding,
+    "op9_token_binary_output": op9_token_binary_output,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
