@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import minhash, sentencepiece_io, tokenbin
+from tessera.llm import langid, minhash, sentencepiece_io, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,13 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(langid.fold(F.col("doc_id"), 5) != 0))
+    out = langid.identify(docs, model).withColumn("held_out", langid.fold(F.col("doc_id"), 5) == 0)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected", "entropy")
+
+
 def op6_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_io.encode_documents(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), with_ids=False)
 
@@ -34,6 +42,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": op4_language_id,
     "op6_sentencepiece_coding": op6_sentencepiece_coding,
     "op9_token_binary_output": op9_token_binary_output,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
