@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import hnsw, langid, minhash, sentencepiece_io, tokenbin, topk_search
+from tessera.llm import hnsw, langid, minhash, mixing, sentencepiece_io, tokenbin, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(langid.fold(F.col("doc_id"), 5) != 0))
@@ -52,6 +56,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk_search": op1_exact_topk_search,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op6_sentencepiece_coding": op6_sentencepiece_coding,
     "op9_token_binary_output": op9_token_binary_output,
