@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +32,57 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in ``links(a long, b long)``; component: the smallest id reachable.
+def reach(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id reachable) over the links a[i] - b[i]."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    low = np.arange(len(ids))
+    while True:
+        m = np.minimum(low[u], low[v])
+        new = low.copy()
+        for end in (u, v):
+            np.minimum.at(new, end, m)
+            np.minimum.at(new, low[end], m)
+        new = new[new]
+        if (new == low).all():
+            return ids, ids[low]
+        low = new
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task, reduced to one per id; reduced again whenever a million have come."""
+    held, n = [], 0
+    for batch in batches:
+        held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+        n += batch.num_rows
+        if n > 1 << 20:
+            held = [reach(*(np.concatenate(x) for x in zip(*held)))]
+            n = len(held[0][0])
+    if held:
+        u, v = reach(*(np.concatenate(x) for x in zip(*held)))
+        on = u != v
+        yield pa.RecordBatch.from_arrays([pa.array(u[on]), pa.array(v[on])], ["u", "v"])
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until the links no
-    longer change. Minima are written before they are joined back, so that both sides of
-    that join are plain exchanges and a hub with many links can be split among tasks.
+
+def components(links: DataFrame, at_once: int = 2_000_000) -> DataFrame:
+    """(id, component) of every linked id in ``links(a long, b long)``; component: the smallest id reachable.
+
+    Each task first reduces its links to a spanning forest. Forests of at most ``at_once``
+    links together (32 MB) are joined in one more such task; beyond that, large-star and small-star
+    steps alternate (Kiveris et al., 2014) until the links no longer change. There, minima
+    are written before they are joined back, so that both sides of the join are plain
+    exchanges and a hub with many links can be split among tasks.
     """
-    edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").mapInArrow(_contract, "u long, v long"), "links")
+    if edges.count() <= at_once:
+        edges = keep(edges.coalesce(1).mapInArrow(_contract, "u long, v long"), "links")
+    else:
+        edges = _stars(edges)
+    roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -48,7 +94,5 @@ def components(links: DataFrame) -> DataFrame:
         edges = keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == state:
-            break
+            return edges
         state = tuple(row)
-    roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
