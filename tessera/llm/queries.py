@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import hnsw, langid, minhash, mixing, sentencepiece_io, tokenbin, topk_search
+from tessera.llm import hnsw, langid, minhash, mixing, sentencepiece_io, tokenbin, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected", "entropy")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(langid.fold(F.col("doc_id"), 3) != 1)
+    out = toxicity.score(docs, toxicity.train(docs, labels)).withColumn("held_out", langid.fold(F.col("doc_id"), 3) == 1)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_io.encode_documents(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), with_ids=False)
 
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
     "op6_sentencepiece_coding": op6_sentencepiece_coding,
     "op9_token_binary_output": op9_token_binary_output,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,

@@ -28,8 +28,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix(np.arange(256, dtype=np.uint64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+INK = np.ones(256, bool)
+INK[[9, 10, 11, 12, 13, 32]] = False
+#: ASCII letters, and all bytes of other characters.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 class Powers:
@@ -94,23 +97,28 @@ def span_hash(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix(h ^ (U64(0x632BE59BD9B4E019) * (ends - starts).astype(np.uint64)))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, row) of every run of bytes outside ``\\x20\\x09-\\x0D``; runs end with their text."""
+def runs(data: np.ndarray, offsets: np.ndarray, ink: np.ndarray = INK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every run of ``ink`` bytes; runs end with their text."""
     n = len(data)
-    if n == 0:
-        e = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), e, e
-    ink = ~_SPACE[data]
+    on = ink[data]
     cut = np.zeros(n + 1, bool)
-    cut[offsets[:-1]] = True
-    prev = np.concatenate(([False], ink[:-1]))
-    starts = np.flatnonzero(ink & (~prev | cut[:n]))
     cut[offsets] = True
-    nxt = np.concatenate((ink[1:], [False]))
-    ends = np.flatnonzero(ink & (~nxt | cut[1:])) + 1
-    s = prefix_hash(_LOWER[data] if lower else data)
-    rows = np.searchsorted(offsets, starts, "right") - 1
-    return span_hash(s, starts, ends), starts, rows
+    prev, nxt = np.zeros(n, bool), np.zeros(n, bool)
+    prev[1:], nxt[:-1] = on[:-1], on[1:]
+    starts = np.flatnonzero(on & (~prev | cut[:n]))
+    ends = np.flatnonzero(on & (~nxt | cut[1:])) + 1
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, row) of every run of bytes outside ``\\x20\\x09-\\x0D``."""
+    starts, ends, rows = runs(data, offsets)
+    return span_hash(prefix_hash(_LOWER[data] if lower else data), starts, ends), starts, rows
 
 
 def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
