@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import hnsw, langid, minhash, mixing, sentencepiece_io, tokenbin, topk_search, toxicity
+from tessera.llm import chat, hnsw, langid, minhash, mixing, sentencepiece_io, tokenbin, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op9_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_sentencepiece_coding": op6_sentencepiece_coding,
+    "op7_chat_formatting": op7_chat_formatting,
     "op9_token_binary_output": op9_token_binary_output,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
