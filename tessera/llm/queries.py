@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, hnsw, langid, minhash, mixing, sentencepiece_io, tokenbin, topk_search, toxicity
+from tessera.llm import chat, hnsw, langid, minhash, mixing, sentencepiece_io, suffix_dedup, tokenbin, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -67,6 +71,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk_search": op1_exact_topk_search,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
