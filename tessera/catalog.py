@@ -11,13 +11,17 @@ from tessera.functions import codecs as C
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.functions import vectors as V
+from tessera.functions.stem import stem_terms
 from tessera.operators import analytics as A
 from tessera.operators import index as I
 from tessera.operators import learn as L
 from tessera.operators import recommend as R
 from tessera.operators import scoring as S
+from tessera.operators.summarize import summarize
 from tessera.plans import search as P
 from tessera.plans.parser import Conjunct, mix, parse
+from tessera.sources import pages as H
+from tessera.streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -675,3 +679,66 @@ def diff_lines(spark, d):
     line = F.explode(F.split("text", "\n")).alias("line")
     x = docs(spark, d)
     return x.where("doc_id % 2 = 0").select(line).join(x.where("doc_id % 2 = 1").select(line), "line", "left_anti").groupBy("line").agg(F.count("*").alias("n"))
+
+
+# Pages, summaries, stems, streams
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')")
+def html_summary(spark, d):
+    rows = table(spark, d, "pages").where(~F.regexp_extract("html", "<title>([^<]*)</title>", 1).contains("&"))
+    return H.html_pages(rows).select("page_id", "title", F.coalesce("lang", F.lit("")).alias("lang"))
+
+
+@query()
+def html_links(spark, d):
+    return H.html_pages(table(spark, d, "pages")).select("page_id", F.inline("links"))
+
+
+@query()
+def sum_centroid(spark, d):
+    return summarize(docs(spark, d), "centroid", 500)
+
+
+@query()
+def sum_weighted(spark, d):
+    return summarize(docs(spark, d), "weighted", 500)
+
+
+@query()
+def sum_graph(spark, d):
+    return summarize(docs(spark, d), "graph", 500)
+
+
+@query()
+def stem_en(spark, d):
+    terms = docs(spark, d).where("lang = 'en'").select("doc_id", stem_terms(T.tokens(F.col("text"))).alias("s"))
+    return terms.select("doc_id", F.explode("s").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+
+
+@query(with_(_E) + "SELECT t // 3600 * 3600 AS bucket, event_type, count(*) AS num_views FROM e GROUP BY ALL")
+def stream_hourly(spark, d):
+    rows = E.deduplicated(E.read(spark, f"{d}/events.parquet"), "event_id")
+    out = E.drain(E.hourly(rows, ["event_type"]), "complete")
+    return out.select(F.unix_timestamp("window.start").alias("bucket"), "event_type", "num_views")
+
+
+@query("SELECT user_id, count(*) AS visits FROM events GROUP BY 1")
+def stream_throttle(spark, d):
+    rows = E.read(spark, f"{d}/events.parquet")
+    return E.drain(E.throttle(rows, "user_id", forget=1 << 40), "update").groupBy("user_id").agg(F.max("visits").alias("visits"))
+
+
+@query("SELECT c_custkey, 'x' AS tag FROM customer WHERE c_custkey > 10 UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey <= 10")
+def insert_ignore(spark, d):
+    c = table(spark, d, "customer").select("c_custkey")
+    return A.insert_ignore(c.where("c_custkey <= 10").withColumn("tag", F.lit("old")), c.withColumn("tag", F.lit("x")), ["c_custkey"])
+
+
+@query(r"SELECT item_id, count(*) AS n FROM (SELECT item_id, unnest(string_split(text, '. ')) AS s FROM benchmark) WHERE trim(s) <> '' GROUP BY 1")
+def src_delimited(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", r"\. ")).alias("s")).where(F.trim("s") != "").groupBy("item_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, doc_id || ',' || lang || ',' || source || ',' || n_chars AS line FROM documents")
+def sink_csv(spark, d):
+    return docs(spark, d).select("doc_id", F.to_csv(F.struct("doc_id", "lang", "source", "n_chars")).alias("line"))
