@@ -11,12 +11,15 @@ from tessera.functions import codecs as C
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.functions import vectors as V
+from tessera.functions.sheet import range_aggregate
 from tessera.functions.stem import stem_terms
+from tessera.functions.wiki import to_html
 from tessera.operators import analytics as A
 from tessera.operators import index as I
 from tessera.operators import learn as L
 from tessera.operators import recommend as R
 from tessera.operators import scoring as S
+from tessera.operators.rules import apply_rules, word_filter as filter_words
 from tessera.operators.summarize import summarize
 from tessera.plans import search as P
 from tessera.plans.parser import Conjunct, mix, parse
@@ -742,3 +745,29 @@ def src_delimited(spark, d):
 @query("SELECT doc_id, doc_id || ',' || lang || ',' || source || ',' || n_chars AS line FROM documents")
 def sink_csv(spark, d):
     return docs(spark, d).select("doc_id", F.to_csv(F.struct("doc_id", "lang", "source", "n_chars")).alias("line"))
+
+
+# Rules, sheets, markup
+
+@query("SELECT doc_id, 'x-' || source AS tag, string_split(lang || ',' || source, ',') AS parts, ['u:tag:x-' || source] AS meta FROM documents")
+def page_rules(spark, d):
+    program = "tag = 'x-'\ntag .= source\naddMetaWord(tag)\nparts = lang\nparts .= ','\nparts .= source\ntoArray(parts)"
+    out = apply_rules(docs(spark, d).withColumn("meta", F.array().cast("array<string>")), program)
+    return out.select("doc_id", "tag", "parts", "meta")
+
+
+@query(with_(TOKS) + ", c AS (SELECT doc_id, len(list_filter(ts, lambda t: t = 'the')) AS a, len(list_filter(ts, lambda t: t = 'der')) AS b, len(ts) AS n FROM toks) SELECT doc_id, list_filter([CASE WHEN a >= 3 AND b = 0 THEN 'KEEP' END, CASE WHEN b > 0 AND b >= 0.01 * n THEN 'GERMAN' END], lambda x: x IS NOT NULL) AS actions FROM c")
+def word_filter_rules(spark, d):
+    return filter_words(docs(spark, d), [("the#3,-der", "KEEP"), ("der#0.01", "GERMAN")]).select("doc_id", "actions")
+
+
+@query("SELECT sum(v) AS sum, avg(v) AS avg, min(v) AS min, max(v) AS max FROM (SELECT l_orderkey AS row, l_linenumber AS col, l_quantity AS v FROM lineitem) WHERE row BETWEEN 0 AND 99 AND col BETWEEN 1 AND 3")
+def sheet_sum_avg(spark, d):
+    cells = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.col("l_quantity").alias("value"))
+    return range_aggregate(cells, "B1", "D100")
+
+
+@query("SELECT doc_id, md5('<b>' || source || '</b> and <i>' || lang || '</i>') AS html FROM documents")
+def wiki_bold(spark, d):
+    markup = F.concat(F.lit("'''"), "source", F.lit("''' and ''"), "lang", F.lit("''"))
+    return docs(spark, d).select("doc_id", F.md5(to_html(markup).cast("binary")).alias("html"))

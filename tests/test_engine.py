@@ -129,3 +129,39 @@ def test_sources(spark, tmp_path):
     assert [(r.url, r.code, r.type, bytes(r.body)) for r in rows] == [("http://e.com/", 200, "text/html", b"<p>x</p>")] * 2
     (tmp_path / "t.txt").write_text("a##b\nc##")
     assert [r.record for r in read_delimited(spark, str(tmp_path / "t.txt"), "##").collect()] == ["a", "b\nc"]
+
+
+def test_sheet():
+    from tessera.functions.sheet import Sheet, place
+
+    s = Sheet([["1", "2", "=A1+B1*3"], ["=8-3-2", "=sum(A1:B1, 4)", "=pow(2,3)%5"], ["x", "=C4", "=-(A1)"]])
+    assert place("B3") == (2, 1) and place("AA1") == (0, 26)
+    assert (s.value(0, 2), s.value(1, 0), s.value(1, 1), s.value(1, 2), s.value(2, 0), s.value(2, 2)) == (7, 3, 7, 3, "x", -1)
+    with pytest.raises(ValueError):
+        Sheet([["=B1", "=A1"]]).value(0, 0)
+    with pytest.raises(ValueError):
+        Sheet([["=1+"]]).value(0, 0)
+
+
+def test_rules_and_markup(spark):
+    from tessera.functions import wiki
+    from tessera.operators.rules import apply_rules, emails, phones, word_filter
+
+    df = spark.createDataFrame([("Ab Ab c", None), (None, "v")], "text string, x string")
+    got = apply_rules(df, "y = text /[A-Z]b/\ntext = /b/d/\nz = 'a'\nz .= x\npushStack(st, z)\npopStack(st, top)\nunset(x)").collect()
+    assert got[0].y == ["Ab", "Ab"] and got[0].text == "Ad Ad c" and got[0].z == "a" and got[1].z == "av" and got[1].top == "av" and got[1].st == [] and got[1].x is None
+    acts = [sorted(r.actions) for r in word_filter(df, [("ab#2", "A"), ("-c", "B"), ("ab#0.5", "C")]).collect()]
+    assert acts == [["A", "C"], ["B"]]
+    assert one(spark, emails(F.lit("x a.b@c.org, a.b@c.org"))) == ["a.b@c.org"] and one(spark, phones(F.lit("call (408) 555-1234 now 12"))) == ["4085551234"]
+    m = F.lit("== T ==\n'''b''' ''i'' [[P|q]] <x>\n* one\n* two\n")
+    assert one(spark, wiki.to_html(m)) == '<h2>T</h2>\n<b>b</b> <i>i</i> <a href="P">q</a> &lt;x&gt;\n<ul><li>one</li>\n<li>two</li>\n</ul>'
+    assert one(spark, wiki.links(m)) == ["P"] and one(spark, wiki.headings(m)) == [Row(level=2, title="T")]
+
+
+def test_engine(spark):
+    from tessera.engine import Engine
+
+    docs = spark.createDataFrame([(1, "cat cat dog", "en", "a"), (2, "cat dog bird", "en", "a"), (3, "fish", "en", "b")], "doc_id long, text string, lang string, source string")
+    e = Engine(docs)
+    assert e.top_terms(1, 2) == ["cat", "dog"] and [r.doc_id for r in e.related(1).collect()] == [2]
+    assert e.cached(3, ["fish"]).first().text == "<b>fish</b>" and e.search("cat").count() == 2
