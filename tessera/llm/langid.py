@@ -224,7 +224,9 @@ def train(labelled: DataFrame, order: int = 4, calibration_rows: int = 4000, acc
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
     sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").toArrow()  # at most calibration_rows texts
     true = np.searchsorted(langs, np.array(sample.column("lang").to_pylist(), object))
-    h, size = model.entropies(*text_buffer(sample.column("text")))
+    data, off = text_buffer(sample.column("text"))
+    parts = [model.entropies(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off, 1 << 19)]
+    h, size = (np.concatenate(x) for x in zip(*parts))
     on = size > 0
     h, size, true = h[on], size[on], true[on]
     gap = (h - h.min(1, keepdims=True)) * size[:, None]
