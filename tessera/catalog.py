@@ -88,7 +88,8 @@ def char_ngrams(spark, d):
 
 @query(with_(TOKS) + "SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(len(ts), 1)), lambda i: ts[i] || ' ' || ts[i + 1])) AS gram FROM toks) GROUP BY 1 HAVING count(*) > 1")
 def word_bigrams(spark, d):
-    grams = docs(spark, d).select(F.explode(T.word_ngrams(T.tokens(F.col("text")), 2)).alias("gram"))
+    terms = docs(spark, d).select(T.tokens(F.col("text")).alias("terms"))  # once a text, not once a gram
+    grams = terms.select(F.explode(T.word_ngrams(F.col("terms"), 2)).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
 
 

@@ -22,7 +22,7 @@ def char_ngrams(term: Column, n: int) -> Column:
 
 
 def word_ngrams(terms: Column, n: int) -> Column:
-    """All runs of n terms, joined by spaces; none if there are fewer."""
+    """All runs of n terms, joined by spaces; none if there are fewer. ``terms`` should be a stored column: each gram reads it."""
     starts = F.when(F.size(terms) >= n, F.sequence(F.lit(1), F.size(terms) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(terms, i, n), " "))
 
