@@ -97,21 +97,55 @@ def conjunct_docs(corpus: DataFrame, c: Conjunct, posts: DataFrame | None = None
     return out
 
 
+def _follow(phrase: tuple[str | None, ...], positions: dict[str, str]) -> Column:
+    """P11 within a row: whether the words of a phrase follow each other, given a column of positions per word."""
+    at: Column | None = None
+    gap = False
+    for w in phrase:
+        if w is None:
+            gap = at is not None
+            continue
+        here = F.col(positions[w])
+        if at is None:
+            at = here
+        elif gap:
+            at = F.filter(here, (lambda prev: lambda p: p >= F.array_min(prev) + 2)(at))
+        else:
+            at = F.filter(here, (lambda prev: lambda p: F.array_contains(prev, p - 1))(at))
+        gap = False
+    return F.size(at) > 0
+
+
 def conjunct_scores(corpus: DataFrame, c: Conjunct, per_generation: int = I.GENERATION) -> DataFrame:
-    """doc_id, doc_rank, relevance, proximity of a conjunct's documents, times its weight."""
-    stats = I.doc_stats(corpus, per_generation)
-    docs = conjunct_docs(corpus, c)
-    rank = stats.select("doc_id", S.doc_rank(F.col("doc_index"), F.col("generation"), per_generation).alias("doc_rank"))
+    """doc_id, doc_rank, relevance, proximity of a conjunct's documents, times its weight.
+
+    A document's positions of the words stand in its own row, so matching and scoring need no
+    shuffle; one row of totals over the corpus, and the document ranks, are joined to the matches.
+    """
+    rank = I.doc_stats(corpus, per_generation).select("doc_id", S.doc_rank(F.col("doc_index"), F.col("generation"), per_generation).alias("doc_rank"))
     if not c.words:
-        return docs.join(rank, "doc_id").withColumns({"relevance": F.lit(1.0), "proximity": F.lit(1.0)})
-    posts = I.postings_of(corpus, list(c.words))
-    # All postings of the words count for document frequencies; only matches are returned.
-    rel = S.relevance(posts, stats).join(docs, "doc_id", "left_semi").groupBy("doc_id").agg(F.sum("relevance").alias("relevance"))
-    near = posts.join(docs, "doc_id", "left_semi").groupBy("doc_id").agg(S.cover_score(F.sort_array(F.collect_list(F.struct("term", "positions")))).alias("proximity"))
-    if len(c.words) == 1:
-        near = near.withColumn("proximity", F.lit(1.0))
+        return conjunct_docs(corpus, c).join(rank, "doc_id").withColumns({"relevance": F.lit(1.0), "proximity": F.lit(1.0)})
+    names = {w: f"_p{i}" for i, w in enumerate(c.words)}
+    rows = corpus.withColumn("_terms", F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")))
+    place = lambda w: F.filter(F.transform("_terms", lambda t, i: F.when(t == w, i + 1)), lambda p: p.isNotNull())
+    rows = rows.withColumns({p: place(w) for w, p in names.items()}).withColumn("_len", F.size("_terms"))
+    totals = rows.agg(F.count("*").alias("_docs"), F.avg("_len").alias("_average"), *[F.count_if(F.size(p) > 0).alias(f"_df{p}") for p in names.values()])
+    keep = reduce(lambda a, b: a & b, [F.size(p) > 0 for p in names.values()])
+    for name, value in c.fields:
+        keep = keep & field_condition(name, value, corpus.columns)
+    for name, value in c.not_fields:
+        keep = keep & ~field_condition(name, value, corpus.columns)
+    if c.without:
+        keep = keep & ~F.arrays_overlap("_terms", F.array(*map(F.lit, c.without)))
+    for phrase in c.phrases:
+        if len(phrase) > 1:
+            keep = keep & _follow(phrase, names)
+    found = rows.where(keep).select("doc_id", "_len", *names.values()).join(F.broadcast(totals))  # one row
+    relevance = reduce(lambda a, b: a + b, [S.field_relevance(F.col(p), F.col("_len"), F.col("_average"), F.col(f"_df{p}"), F.col("_docs")) for p in names.values()])
+    near = S.cover_score(F.array(*[F.struct(F.lit(w).alias("term"), F.col(p).alias("positions")) for w, p in sorted(names.items())])) if len(names) > 1 else F.lit(1.0)
     w = F.lit(c.weight)
-    return rel.join(near, "doc_id").join(rank, "doc_id").select("doc_id", (F.col("doc_rank") * w).alias("doc_rank"), (F.col("relevance") * w).alias("relevance"), (F.col("proximity") * w).alias("proximity"))
+    scored = found.select("doc_id", (relevance * w).alias("relevance"), (near * w).alias("proximity"))
+    return scored.join(rank, "doc_id").select("doc_id", (F.col("doc_rank") * w).alias("doc_rank"), "relevance", "proximity")
 
 
 def block_scores(corpus: dict[str | None, DataFrame], b: Block) -> DataFrame:
