@@ -3,16 +3,18 @@
 Each byte covered by a string of ``length`` bytes that also starts elsewhere, in the same or
 another document, is removed. Sorting every suffix of the corpus is not needed for that:
 
-1. In every window of ``length`` bytes the positions of its smallest 64-byte hash are anchors.
+1. In every window of ``length`` bytes the position of its smallest 64-byte hash is its anchor.
    Equal windows have equal anchors, so windows meet only under a common anchor, and
    anchors that occur once rule their windows out. No window is lost.
-2. The windows of an anchor occurrence lie in its context, 136 bytes before to 200 after.
-   Equal contexts are kept once with their number; all windows of one that occurs again repeat.
-   Contexts overlap, so a window repeats only if it stands at two places of the corpus.
-3. Distinct contexts are dealt by anchor, and the suffixes of each task's contexts are sorted
-   by the skew algorithm: sampled triples, recursion on their names, merge of the rest. Neighbours are then compared over ``length`` bytes.
-4. An anchor of more than ``most`` distinct contexts would be too much for a task; its windows
-   are instead grouped one by one by a 128-bit hash, counted before the shuffle.
+2. The windows of an anchor are parted by their distance to it, ``CLASS`` starts to a piece. All
+   windows of a piece share a core of 166 bytes, which is a closer key than the anchor: cores
+   that occur once rule their windows out, too. Equal pieces are kept once with their
+   number, and all windows of a piece that occurs again repeat.
+3. Cores with several different pieces are left. Those pieces are dealt by core, and the
+   suffixes of each task's pieces are sorted by the skew algorithm: sampled triples, recursion
+   on their names, merge of the rest. Neighbours are then compared over ``length`` bytes.
+4. A core of more than ``most`` different pieces would be too much for a task; its windows are
+   instead grouped one by one by a 128-bit hash, counted before the shuffle.
 
 Texts are shuffled once, by document; the documents with repeated anchors are written as a
 bucketed table, so that later joins leave them in place.
@@ -38,6 +40,7 @@ from tessera.llm.suffix_array import MOST, repeated_starts
 from tessera.llm.textnum import U64, mix, prefix_hash, slices, span_hash, text_buffer
 
 GRAM = 64
+CLASS = 35
 
 
 def _sliding(x: np.ndarray, width: int, op, fill: int) -> np.ndarray:
@@ -49,20 +52,58 @@ def _sliding(x: np.ndarray, width: int, op, fill: int) -> np.ndarray:
     return op(suffix[:m], prefix[width - 1 : width - 1 + m])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of every anchor: a smallest hash of some window inside one text."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if len(data) < length:
-        return none
+def _hashes(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash at each position, smallest hash of the window that starts there; 0 where none lies inside a text)."""
     width = length - GRAM + 1
     at = np.arange(len(data) - GRAM + 1)
     h = span_hash(prefix_hash(data), at, at + GRAM) | U64(1)
     low = _sliding(h, width, np.minimum, 0xFFFFFFFFFFFFFFFF)
     ends = np.repeat(offsets[1:], np.diff(offsets))[: len(low)]
     low[ends < np.arange(len(low)) + length] = 0
-    high = _sliding(np.concatenate((np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64))), width, np.maximum, 0)
-    pos = np.flatnonzero(h == high[: len(h)])
-    return pos, h[pos]
+    return h, low
+
+
+def _runs(low: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) window of each run with one anchor; windows outside texts are in none."""
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (h[: len(low) - 1] == low[:-1])  # a window that starts at its anchor is that anchor's last
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(low)) - 1
+    on = low[first] > 0
+    return first[on], last[on]
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, anchor hash) of each run of windows with one anchor."""
+    if len(data) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h, low = _hashes(data, offsets, length)
+    first, _ = _runs(low, h)
+    return first, low[first]
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(first window, number of windows, core start, class) of the pieces of the runs that begin at ``wanted``."""
+    h, low = _hashes(data, offsets, length)
+    first, last = _runs(low, h)
+    on = np.isin(first, wanted)
+    first, last = first[on], last[on]
+    value = low[first]
+    # The anchor of a run is the first position from its last window on with the smallest hash.
+    anchor = last.copy()
+    left = np.flatnonzero(h[anchor] != value)
+    while len(left):
+        anchor[left] += 1
+        left = left[h[anchor[left]] != value[left]]
+    out = []
+    for c in range(-(-(length - GRAM + 1) // CLASS)):
+        a = np.maximum(first, anchor - (CLASS * c + CLASS - 1))
+        b = np.minimum(last, anchor - CLASS * c)
+        some = a <= b
+        out.append((a[some], (b - a + 1)[some], anchor[some] - CLASS * c, np.full(int(some.sum()), c)))
+    parts = [np.concatenate(x) for x in zip(*out)]
+    by = np.argsort(parts[0], kind="stable")
+    return tuple(x[by] for x in parts)
 
 
 def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
@@ -85,11 +126,6 @@ def _find(length: int):
     return run
 
 
-def _context(pos: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the context of anchors at ``pos`` in texts from ``start`` to ``end``."""
-    return np.maximum(pos - (length - GRAM), start), np.minimum(pos + length, end)
-
-
 def _flat(batch: pa.RecordBatch, text: int, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(bytes, offsets, row of each list entry, entries) of a batch."""
     data, off = text_buffer(batch.column(text))
@@ -98,29 +134,27 @@ def _flat(batch: pa.RecordBatch, text: int, lists: int) -> tuple[np.ndarray, np.
     return data, off, np.repeat(np.arange(len(size)), size), col.flatten()
 
 
-def _hash_contexts(length: int):
+def _hash_pieces(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             _, off = text_buffer(whole.column(1))
             for i, j in slices(off):
                 batch = whole.slice(i, j - i)
                 data, o, row, entries = _flat(batch, 1, 2)
-                pos = np.sort(np.asarray(entries).astype(np.int64) + o[row], kind="stable")
-                s = prefix_hash(data)
-                a, b = _context(pos, o[row], o[row + 1], length)
-                ca = span_hash(s, a, b)
-                s2 = prefix_hash(data ^ np.uint8(0x5A))
-                cb = mix(span_hash(s2, a, b) ^ (pos - a).astype(np.uint64))
-                key = span_hash(s, pos, pos + GRAM)
-                n = np.bincount(row, minlength=j - i)
-                cols = [_lists(n, pa.array(v)) for v in ((pos - o[row]).astype(np.int32), ca.view(np.int64), cb.view(np.int64), key.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["rid", "text", "pos", "ca", "cb", "key"])
+                at, n, core, kind = pieces(data, o, np.asarray(entries).astype(np.int64) + o[row], length)
+                s, s2 = prefix_hash(data), prefix_hash(data ^ np.uint8(0x5A))
+                ca, cb = span_hash(s, at, at + n + length - 1), span_hash(s2, at, at + n + length - 1)
+                key = mix(span_hash(s, core, core + length - CLASS + 1) + kind.astype(np.uint64))
+                where = np.searchsorted(o, at, "right") - 1
+                size = np.bincount(where, minlength=j - i)
+                cols = [_lists(size, pa.array(v)) for v in ((at - o[where]).astype(np.int32), n.astype(np.int32), ca.view(np.int64), cb.view(np.int64), key.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["rid", "text", "pos", "w", "ca", "cb", "key"])
 
     return run
 
 
 def _cut(length: int):
-    """Rows (key, rid, pos, n, lead, context) of the representatives in a document."""
+    """Rows (key, rid, pos, n, w, piece) of the representatives in a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -129,14 +163,13 @@ def _cut(length: int):
                 batch = whole.slice(i, j - i)
                 data, o, row, entries = _flat(batch, 1, 2)
                 pos = np.asarray(entries.field("pos")).astype(np.int64) + o[row]
-                a, b = _context(pos, o[row], o[row + 1], length)
-                size = b - a
+                a, size = pos, np.asarray(entries.field("w")).astype(np.int64) + length - 1
                 upto = np.concatenate(([0], np.cumsum(size)))
                 index = np.repeat(a - upto[:-1], size)
                 index += np.arange(len(index))
                 texts = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(data[index].tobytes())])
                 rid = batch.column(0).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([entries.field("key"), rid, entries.field("pos"), entries.field("n"), pa.array((pos - a).astype(np.int32)), texts], ["key", "rid", "pos", "n", "lead", "context"])
+                yield pa.RecordBatch.from_arrays([entries.field("key"), rid, entries.field("pos"), entries.field("n"), entries.field("w"), texts], ["key", "rid", "pos", "n", "w", "piece"])
 
     return run
 
@@ -146,15 +179,14 @@ def _bits(flags: np.ndarray) -> bytes:
 
 
 def _sort(length: int):
-    """Marks the repeated windows of contexts that come by key: (rid, pos, lead, marks)."""
+    """Marks the repeated windows of pieces that come by key: (rid, pos, w, marks)."""
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         data, off = text_buffer(t.column(5))
         size = np.diff(off)
         single = np.asarray(t.column(3)) == 1
-        begin = np.asarray(t.column(2)).astype(np.int64) - np.asarray(t.column(4))
-        # Contexts of near anchors overlap: a window is told from its double by where it stands.
+        begin = np.asarray(t.column(2)).astype(np.int64)
         place = np.repeat(mix(np.asarray(t.column(1)).astype(np.uint64)), size) + (np.repeat(begin - off[:-1], size) + np.arange(len(data))).astype(np.uint64)
         found = repeated_starts(data, off[1:], length, place, np.repeat(~single, size))
         marks, rows = [], []
@@ -162,7 +194,7 @@ def _sort(length: int):
             rows.append(r)
             marks.append(_bits(found[off[r] : off[r + 1]]))
         take = pa.array(np.array(rows, np.int64))
-        return pa.RecordBatch.from_arrays([t.column(1).take(take), t.column(2).take(take), t.column(4).take(take), pa.array(marks, pa.binary())], ["rid", "pos", "lead", "marks"])
+        return pa.RecordBatch.from_arrays([t.column(1).take(take), t.column(2).take(take), t.column(4).take(take), pa.array(marks, pa.binary())], ["rid", "pos", "w", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -190,7 +222,7 @@ def _sort(length: int):
 
 
 def _windows(length: int):
-    """(rid, pos, lead, start, wa, wb, n) of each window of a context, by 128-bit hash."""
+    """(rid, pos, w, start, wa, wb, n) of each window of a piece, by 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +233,7 @@ def _windows(length: int):
             a = off[row] + start
             wa, wb = span_hash(prefix_hash(data), a, a + length), span_hash(prefix_hash(data ^ np.uint8(0x5A)), a, a + length)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (1, 2, 4)), pa.array(start.astype(np.int32)), pa.array(wa.view(np.int64)), pa.array(wb.view(np.int64)), batch.column(3).take(take)], ["rid", "pos", "lead", "start", "wa", "wb", "n"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (1, 2, 4)), pa.array(start.astype(np.int32)), pa.array(wa.view(np.int64)), pa.array(wb.view(np.int64)), batch.column(3).take(take)], ["rid", "pos", "w", "start", "wa", "wb", "n"])
 
     return run
 
@@ -216,14 +248,13 @@ def _remove(length: int):
                 cover = np.zeros(len(raw) + 1, np.int32)
                 pos = np.asarray(marks.values.field("pos")).astype(np.int64)
                 bits = marks.values.field("marks")
-                lead = np.asarray(marks.values.field("lead").fill_null(0)).astype(np.int64)
+                windows = np.asarray(marks.values.field("w")).astype(np.int64)
                 none = np.asarray(bits.is_null())
-                # A whole context repeats: all its windows, one unbroken run of bytes.
-                a, b = _context(pos[none], 0, len(raw), length)
-                np.add.at(cover, a, 1)
-                np.add.at(cover, b, -1)
+                # A whole piece repeats: all its windows, one unbroken run of bytes.
+                np.add.at(cover, pos[none], 1)
+                np.add.at(cover, pos[none] + windows[none] + length - 1, -1)
                 for k in np.flatnonzero(~none):
-                    on = np.flatnonzero(np.unpackbits(np.frombuffer(bits[int(k)].as_buffer(), np.uint8))) + pos[k] - lead[k]
+                    on = np.flatnonzero(np.unpackbits(np.frombuffer(bits[int(k)].as_buffer(), np.uint8))) + pos[k]
                     np.add.at(cover, on, 1)
                     np.add.at(cover, on + length, -1)
                 gone = np.cumsum(cover[:-1]) > 0
@@ -253,31 +284,30 @@ def remove_repeats(docs: DataFrame, length: int = 200, most: int = 4096, with_te
     at = each.join(again, "hash").groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
     table = f"tessera_repeats_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = docs.select("rid", "text").join(at, "rid").mapInArrow(_hash_contexts(length), "rid long, text string, pos array<int>, ca array<long>, cb array<long>, key array<long>")
+    near = docs.select("rid", "text").join(at, "rid").mapInArrow(_hash_pieces(length), "rid long, text string, pos array<int>, w array<int>, ca array<long>, cb array<long>, key array<long>")
     near.write.bucketBy(parts, "rid").option("compression", "zstd").format("parquet").saveAsTable(table)
     near = spark.table(table)
 
-    each = near.select("rid", F.explode(F.arrays_zip("pos", "ca", "cb", "key")).alias("c")).select("rid", "c.pos", "c.ca", "c.cb", "c.key")
-    kinds = keep(each.groupBy("ca", "cb").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "key")).alias("r")).select("ca", "cb", "n", "r.rid", "r.pos", "r.key"), "contexts")
-    hot = keep(kinds.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > most).select("key"), "hot")
-    # An anchor whose contexts are all equal needs no sort.
-    alone = kinds.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    picked = kinds.join(keep(alone, "mixed"), "key").select("rid", F.struct("pos", "key", "n").alias("r")).groupBy("rid").agg(F.sort_array(F.collect_list("r")).alias("reps"))
-    cut = near.select("rid", "text").join(picked, "rid").mapInArrow(_cut(length), "key long, rid long, pos int, n long, lead int, context binary")
+    each = near.select("rid", F.explode(F.arrays_zip("pos", "w", "ca", "cb", "key")).alias("c")).select("rid", "c.pos", "c.w", "c.ca", "c.cb", "c.key")
+    kinds = keep(each.groupBy("ca", "cb").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "w", "key")).alias("r")).select("ca", "cb", "n", "r.*"), "pieces")
+    # A core needs a sort if it has several pieces, and one of them only once.
+    cores = keep(kinds.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("key", "c"), "cores")
+    picked = kinds.join(cores, "key").select("rid", F.struct("pos", "w", "key", "n").alias("r")).groupBy("rid").agg(F.sort_array(F.collect_list("r")).alias("reps"))
+    cut = near.select("rid", "text").join(picked, "rid").mapInArrow(_cut(length), "key long, rid long, pos int, n long, w int, piece binary")
+    hot = keep(cores.where(F.col("c") > most).select("key"), "hot")
     if hot.take(1):
         cut = keep(cut, "cut")
         few, many = cut.join(hot, "key", "left_anti"), cut.join(hot, "key", "left_semi")
     else:
         few, many = cut, None
-    marked = few.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sort(length), "rid long, pos int, lead int, marks binary")
+    marked = few.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sort(length), "rid long, pos int, w int, marks binary")
     if many is not None:
-        w = keep(many.select("key", "rid", "pos", "n", "lead", "context").mapInArrow(_windows(length), "rid long, pos int, lead int, start int, wa long, wb long, n long"), "windows")
-        place = F.struct("rid", (F.col("pos") - F.col("lead") + F.col("start")).alias("at"))
-        twice = keep(w.groupBy("wa", "wb").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("n").alias("n")).where("a <> b or n > 1").select("wa", "wb"), "twice")
-        starts = w.where("n = 1").join(twice, ["wa", "wb"]).groupBy("rid", "pos", "lead").agg(F.collect_set("start").alias("starts"))
-        marked = marked.unionByName(starts.mapInArrow(_as_bits, "rid long, pos int, lead int, marks binary"))
-    whole = each.join(kinds.where("n > 1").select("ca", "cb"), ["ca", "cb"]).select("rid", "pos", F.lit(None).cast("int").alias("lead"), F.lit(None).cast("binary").alias("marks"))
-    marks = keep(whole.unionByName(marked), "marks").groupBy("rid").agg(F.collect_list(F.struct("pos", "lead", "marks")).alias("marks"))
+        w = keep(many.select("key", "rid", "pos", "n", "w", "piece").mapInArrow(_windows(length), "rid long, pos int, w int, start int, wa long, wb long, n long"), "windows")
+        twice = keep(w.groupBy("wa", "wb").agg(F.count("*").alias("m"), F.max("n").alias("n")).where("m > 1 or n > 1").select("wa", "wb"), "twice")
+        starts = w.where("n = 1").join(twice, ["wa", "wb"]).groupBy("rid", "pos", "w").agg(F.collect_set("start").alias("starts"))
+        marked = marked.unionByName(starts.mapInArrow(_as_bits, "rid long, pos int, w int, marks binary"))
+    whole = each.join(kinds.where("n > 1").select("ca", "cb"), ["ca", "cb"]).select("rid", "pos", "w", F.lit(None).cast("binary").alias("marks"))
+    marks = keep(whole.unionByName(marked), "marks").groupBy("rid").agg(F.collect_list(F.struct("pos", "w", "marks")).alias("marks"))
     text = ", kept_text string"
     done = near.select("rid", "text").join(marks, "rid").mapInArrow(_remove(length), "rid long, n_removed long, n_spans long, kept_sha256 string" + text)
     if not with_text:
@@ -299,4 +329,4 @@ def _as_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flags = np.zeros(max(s) + 1, bool)
             flags[s] = True
             marks.append(_bits(flags))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(marks, pa.binary())], ["rid", "pos", "lead", "marks"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(marks, pa.binary())], ["rid", "pos", "w", "marks"])
