@@ -574,6 +574,12 @@ def rec_user_tf(spark, d):
     return R.user_tf(tf, _views(spark, d, c).where("user_id < 20")).select("user_id", "term", "freq")
 
 
+@query("WITH " + _REC + " SELECT user_id, term, freq FROM ut")
+def rec_user_tf_all(spark, d):
+    c, tf = _items(spark, d)
+    return R.user_tf(tf, _views(spark, d, c)).select("user_id", "term", "freq")
+
+
 @query("WITH " + _REC + " SELECT term, round(idf, 6) AS idf FROM idf WHERE idf <> 0")
 def rec_idf(spark, d):
     return R.idf(_items(spark, d)[1], "item_id", 1 << 30).withColumn("idf", F.round("idf", 6))
@@ -582,9 +588,12 @@ def rec_idf(spark, d):
 _COS = ", cs AS (SELECT user_id, item_id, sum(u.w * i.w) / (sqrt(sum(u.w * u.w)) * sqrt(sum(i.w * i.w))) AS s FROM uw u JOIN iw i USING (term) WHERE user_id < 20 GROUP BY 1, 2)"
 
 
-def _similar(spark, d):
+_COS_ALL = ", cs AS (SELECT user_id, item_id, sum(u.w * i.w) / (sqrt(sum(u.w * u.w)) * sqrt(sum(i.w * i.w))) AS s FROM uw u JOIN iw i USING (term) GROUP BY 1, 2)"
+
+
+def _similar(spark, d, users="user_id < 20"):
     c, tf = _items(spark, d)
-    views = _views(spark, d, c).where("user_id < 20")
+    views = _views(spark, d, c).where(users)
     idf = R.idf(tf, "item_id", 1 << 30)
     return R.cosine_shared(R.weights(R.user_tf(tf, views), idf, "user_id"), R.weights(tf, idf, "item_id")), views
 
@@ -600,6 +609,17 @@ def rec_topk(spark, d):
     return R.top_items(similar.withColumn("similarity", F.round("similarity", 6)), views).select("user_id", "item_id", "rank")
 
 
+@query("WITH " + _REC + _COS_ALL + " SELECT user_id, item_id, round(s, 6) AS similarity FROM cs")
+def rec_cosine_all(spark, d):
+    return _similar(spark, d, "true")[0].withColumn("similarity", F.round("similarity", 6))
+
+
+@query("WITH " + _REC + _COS_ALL + " SELECT user_id, item_id, rank FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(s, 6) DESC, item_id) AS rank FROM cs ANTI JOIN v USING (user_id, item_id)) WHERE rank <= 3")
+def rec_topk_all(spark, d):
+    similar, views = _similar(spark, d, "true")
+    return R.top_items(similar.withColumn("similarity", F.round("similarity", 6)), views).select("user_id", "item_id", "rank")
+
+
 # Vectors, codecs, learning
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS q FROM embeddings)
