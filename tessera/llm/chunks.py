@@ -7,7 +7,8 @@ library; numpy then lays the ids out in text order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -19,11 +20,14 @@ class ChunkEncoder:
 
     ``cut(data)`` marks bytes before which a token boundary is certain;
     ``encode(list[str])`` returns one id list per string. At most ``most`` chunks are
-    remembered; the memory is emptied when it is full, which changes no result.
+    remembered; the memory is emptied when it is full, which changes no result. Where a
+    text holds one of ``literals`` (the leftmost first, of those the longest), it is one chunk.
     """
 
-    def __init__(self, cut: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[str]], list[list[int]]], most: int = 400_000) -> None:
+    def __init__(self, cut: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[str]], list[list[int]]], most: int = 400_000, literals: Iterable[str] = ()) -> None:
         self.cut, self.encode, self.most = cut, encode, most
+        found = sorted((x.encode() for x in literals), key=len, reverse=True)
+        self.literal = re.compile(b"|".join(map(re.escape, found))) if found else None
         self._clear()
 
     def _clear(self) -> None:
@@ -45,12 +49,24 @@ class ChunkEncoder:
         self.used += len(flat)
         self.known.update(zip(keys, range(n, n + len(keys))))
 
+    def _keep_literals(self, raw: bytes, offsets: list[int], at: np.ndarray) -> None:
+        if not self.literal.search(raw):
+            return
+        for i, j in zip(offsets, offsets[1:]):
+            for m in self.literal.finditer(raw, i, j):
+                at[m.start() : m.end()] = False
+                at[m.start()] = True
+                if m.end() < len(at):
+                    at[m.end()] = True
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, id offsets per text)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         at = self.cut(data)
         at[offsets[:-1][offsets[:-1] < len(data)]] = True
+        if self.literal:
+            self._keep_literals(data.tobytes(), offsets.tolist(), at)
         starts = np.flatnonzero(at)
         ends = np.append(starts[1:], len(data))
         h, first, inverse = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)

@@ -15,7 +15,8 @@ range partitioning by doc_id -> one file per partition in the shared folder, wri
 a task-attempt name and then renamed, so a lost executor costs only its partitions.
 Only the rank table, bounded by the vocabulary, reaches the driver.
 
-Defined cases: null or empty text has only the end id; repeated rows are kept; doc_id must
+Defined cases: the literal of an added token in a text has that token's id, as in the
+library's own call; null or empty text has only the end id; repeated rows are kept; doc_id must
 not be null; an empty table writes no file and reads back as no rows.
 """
 
@@ -80,23 +81,28 @@ def _letters() -> dict[int, str]:
 def byte_level_encoder(path: str) -> ChunkEncoder:
     """Encoder of a byte-level BPE file of the tokenizers library.
 
-    Runs of letters, digits or signs go straight to the library's BPE model; chunks with
-    other white space or mixed kinds go through its whole pipeline.
+    Runs of letters go straight to the library's BPE model; chunks with other white space or
+    mixed kinds go through its whole pipeline. Added tokens are met in texts as the library
+    meets them: each literal is one chunk. Where one takes in white space, asks for word
+    boundaries or is sought in normalized text, texts are not cut.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    added = t.get_added_tokens_decoder().values()
+    literals = {a.content for a in added}
     model, letter = t.model, str.maketrans({chr(b): c for b, c in _letters().items()})
 
     def one(x: str) -> list[int]:
         bare = x[1:] if x[0] == " " else x
-        if bare.isalpha():
+        if bare.isalpha() and x not in literals:
             return [k.id for k in model.tokenize(x.encode().decode("latin-1").translate(letter))]
         return t.encode(x, add_special_tokens=False).ids
 
-    return ChunkEncoder(cut_byte_level, lambda texts: [one(x) for x in texts], 1_000_000)
+    if any(a.lstrip or a.rstrip or a.single_word or a.normalized for a in added):
+        return ChunkEncoder(lambda data: np.zeros(len(data), bool), lambda texts: [t.encode(x, add_special_tokens=False).ids for x in texts], 10_000)
+    return ChunkEncoder(cut_byte_level, lambda texts: [one(x) for x in texts], 1_000_000, literals)
 
 
 def _encoder(path: str) -> ChunkEncoder:
