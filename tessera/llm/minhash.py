@@ -16,7 +16,9 @@ returns a spanning forest of its true links, so no group is ever expanded into p
 3. what that left outside the largest group, in blocks, against all other blocks.
 
 Nothing is capped: each pair of classes that shares a band and could still connect two
-groups is compared on its full sets.
+groups is compared on its full sets. Bands are derived from the threshold, so that a pair
+exactly at it shares no band with a chance of at most 2e-7 by the formula for independent
+coordinates (``banding``); above the threshold the chance is smaller.
 
 Defined cases: null or empty text has n_shingles 0 and links with nothing; fewer than ``k``
 words form one shingle; repeated rows are equal sets; extra columns are ignored.
@@ -142,13 +144,35 @@ def _forest(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, width: int = 8, block: int = 64) -> DataFrame:
+def miss_rate(percent: int, bands: int, width: int) -> float:
+    """Chance that a pair of exactly ``percent`` per cent similarity shares no band."""
+    return (1 - (percent / 100) ** width) ** bands
+
+
+def banding(percent: int, most: float = 2e-7, bands: int = 40) -> tuple[int, int]:
+    """(bands, width): the widest bands that miss a pair at the threshold with a chance of at most ``most``.
+
+    Low thresholds take bands of one coordinate, and as many more of them as that needs.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    width = max((w for w in range(1, 9) if miss_rate(percent, bands, w) <= most), default=1)
+    while miss_rate(percent, bands, width) > most:
+        bands += 1
+    return bands, width
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int | None = None, width: int | None = None, block: int = 64) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id, component_id, kept.
 
+    ``bands`` and ``width`` come from ``percent`` (``banding``) unless both are given.
+
     ``docs`` has doc_id (long, unique) and text. class_id is the smallest doc_id with the
     same shingle set; component_id the smallest reachable over links of at least
     ``percent`` per cent similarity.
     """
+    if bands is None or width is None:
+        bands, width = banding(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feats = keep(docs.mapInArrow(_features(k, bands, width), "doc_id long, n_shingles long, ida long, idb long, bands array<long>"), "minhash")
     ident = ["ida", "idb", "n_shingles"]
