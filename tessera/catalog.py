@@ -713,6 +713,11 @@ def html_summary(spark, d):
     return H.html_pages(rows).select("page_id", "title", F.coalesce("lang", F.lit("")).alias("lang"))
 
 
+@query()
+def html_summary_all(spark, d):
+    return H.html_pages(table(spark, d, "pages")).select("page_id", "title", F.coalesce("lang", F.lit("")).alias("lang"))
+
+
 @query()
 def html_links(spark, d):
     return H.html_pages(table(spark, d, "pages")).select("page_id", F.inline("links"))

@@ -12,3 +12,12 @@ def test_recommendations_reach_every_user(spark):
     for name in ("rec_user_tf_all", "rec_cosine_all", "rec_topk_all"):
         got = catalog.QUERIES[name](spark, SF).select("user_id").distinct().collect()
         assert {r.user_id for r in got} == users
+
+
+def test_titles_with_entities(spark, tmp_path):
+    pages = ["<html lang=\"en\"><title>A &amp; B</title>", "<title> x &lt;y&gt;\n&#233;</title>", "<title>R&D</title>", "<title>plain</title>", "no title"]
+    rows = [(i, "u", p) for i, p in enumerate(pages)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [tuple(r) for r in catalog.QUERIES["html_summary_all"](spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == [(0, "A & B", "en"), (1, "x <y> é", ""), (2, "R&D", ""), (3, "plain", ""), (4, "", "")]
+    assert catalog.QUERIES["html_summary_all"](spark, SF).count() == catalog.table(spark, SF, "pages").count()
