@@ -11,7 +11,7 @@ from tessera.functions import codecs as C
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.functions import vectors as V
-from tessera.functions.sheet import range_aggregate
+from tessera.functions.sheet import cell, range_aggregate
 from tessera.functions.stem import stem_terms
 from tessera.functions.wiki import to_html
 from tessera.operators import analytics as A
@@ -705,6 +705,12 @@ def diff_lines(spark, d):
     return x.where("doc_id % 2 = 0").select(line).join(x.where("doc_id % 2 = 1").select(line), "line", "left_anti").groupBy("line").agg(F.count("*").alias("n"))
 
 
+@query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1 HAVING line NOT IN (SELECT unnest(string_split(text, chr(10))) FROM benchmark)")
+def diff_lines_all(spark, d):
+    line = F.explode(F.split("text", "\n")).alias("line")
+    return docs(spark, d).select(line).join(table(spark, d, "benchmark").select(line), "line", "left_anti").groupBy("line").agg(F.count("*").alias("n"))
+
+
 # Pages, summaries, stems, streams
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')")
@@ -793,6 +799,13 @@ def sheet_sum_avg(spark, d):
     return range_aggregate(cells, "B1", "D100")
 
 
+@query("SELECT sum(l_quantity) AS sum, avg(l_quantity) AS avg, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem")
+def sheet_sum_avg_all(spark, d):
+    cells = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.col("l_quantity").alias("value"))
+    end = cells.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()
+    return range_aggregate(cells, "A1", cell(end.row or 0, end.col or 0))
+
+
 @query("SELECT doc_id, md5('<b>' || source || '</b> and <i>' || lang || '</i>') AS html FROM documents")
 def wiki_bold(spark, d):
     markup = F.concat(F.lit("'''"), "source", F.lit("''' and ''"), "lang", F.lit("''"))

@@ -21,6 +21,15 @@ def place(name: str) -> tuple[int, int]:
     return int(m[2]) - 1, reduce(lambda n, c: n * 26 + ord(c) - 64, m[1].upper(), 0) - 1
 
 
+def cell(row: int, col: int) -> str:
+    """The name of a cell, as ``place`` reads it."""
+    letters, n = "", col + 1
+    while n:
+        n, k = divmod(n - 1, 26)
+        letters = chr(65 + k) + letters
+    return f"{letters}{row + 1}"
+
+
 _FUNCTIONS: dict[str, Callable] = {
     "sum": lambda *v: sum(v),
     "avg": lambda *v: sum(v) / len(v),
