@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-from tessera.llm.textnum import prefix_hash, span_hash
+from tessera.llm.textnum import same_spans, span_hash
 
 
 class ChunkEncoder:
@@ -20,34 +20,39 @@ class ChunkEncoder:
 
     ``cut(data)`` marks bytes before which a token boundary is certain;
     ``encode(list[str])`` returns one id list per string. At most ``most`` chunks are
-    remembered; the memory is emptied when it is full, which changes no result. Where a
-    text holds one of ``literals`` (the leftmost first, of those the longest), it is one chunk.
+    remembered, by their bytes; the memory is emptied when it is full, which changes no
+    result. Where a text holds one of ``literals`` (the leftmost first, of those the longest),
+    it is one chunk. ``mark``, if given, tells of each distinct chunk and its ids whether to
+    flag it; ``flags`` then counts the flagged chunks of each text of the last batch.
     """
 
-    def __init__(self, cut: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[str]], list[list[int]]], most: int = 400_000, literals: Iterable[str] = ()) -> None:
-        self.cut, self.encode, self.most = cut, encode, most
+    def __init__(self, cut: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[str]], list[list[int]]], most: int = 200_000, literals: Iterable[str] = (), mark: Callable[[list[str], list[list[int]]], list[bool]] | None = None) -> None:
+        self.cut, self.encode, self.most, self.mark = cut, encode, most, mark
         found = sorted((x.encode() for x in literals), key=len, reverse=True)
         self.literal = re.compile(b"|".join(map(re.escape, found))) if found else None
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.flagged = np.zeros(1 << 12, bool)
         self.start, self.length, self.pool, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _learn(self, chunks: list[bytes]) -> None:
+        texts = [c.decode() for c in chunks]
         ids = self.encode(texts)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))
-        n = len(self.known)
-        while n + len(keys) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+        n, m = len(self.known), len(chunks)
+        while n + m > len(self.start):
+            self.start, self.length, self.flagged = (np.resize(x, 2 * len(x)) for x in (self.start, self.length, self.flagged))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.start[n : n + len(keys)] = self.used + np.cumsum(size) - size
-        self.length[n : n + len(keys)] = size
+        self.start[n : n + m] = self.used + np.cumsum(size) - size
+        self.length[n : n + m] = size
+        self.flagged[n : n + m] = self.mark(texts, ids) if self.mark else False
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.known.update(zip(keys, range(n, n + len(keys))))
+        self.known.update(zip(chunks, range(n, n + m)))
 
     def _keep_literals(self, raw: bytes, offsets: list[int], at: np.ndarray) -> None:
         if not self.literal.search(raw):
@@ -62,6 +67,7 @@ class ChunkEncoder:
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, id offsets per text)."""
         if not len(data):
+            self.flags = np.zeros(len(offsets) - 1, np.int64)
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         at = self.cut(data)
         at[offsets[:-1][offsets[:-1] < len(data)]] = True
@@ -69,23 +75,28 @@ class ChunkEncoder:
             self._keep_literals(data.tobytes(), offsets.tolist(), at)
         starts = np.flatnonzero(at)
         ends = np.append(starts[1:], len(data))
-        h, first, inverse = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(h) > self.most:
+        seed = 0
+        while True:  # chunks that are told alike by hash are compared byte by byte; another seed would part them
+            _, first, inverse = np.unique(span_hash(data, starts, ends, seed), return_index=True, return_inverse=True)
+            if same_spans(data, starts, starts[first][inverse], ends - starts).all():
+                break
+            seed += 1
+        if len(self.known) + len(first) > self.most:
             self._clear()
-        keys = h.tolist()
-        slot = [self.known.get(k, -1) for k in keys]
-        new = [i for i, s in enumerate(slot) if s < 0]
-        if new:
-            raw = data.tobytes()
-            s, e = starts[first], ends[first]
-            self._learn([keys[i] for i in new], [raw[s[i] : e[i]].decode() for i in new])
-            slot = [self.known[k] for k in keys]
+        raw = data.tobytes()
+        chunks = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        if new := [c for c in chunks if c not in self.known]:
+            self._learn(new)
+        slot = [self.known[c] for c in chunks]
         entry = np.array(slot)[inverse]
         size = self.length[entry]
         upto = np.concatenate(([0], np.cumsum(size)))
         index = np.repeat(self.start[entry] - upto[:-1], size)
         index += np.arange(len(index))
-        return self.pool[index], upto[np.searchsorted(starts, offsets)]
+        text = np.searchsorted(starts, offsets)
+        if self.mark:
+            self.flags = np.diff(np.concatenate(([0], np.cumsum(self.flagged[entry])))[text])
+        return self.pool[index], upto[text]
 
 
 def _plain(data: np.ndarray) -> np.ndarray:

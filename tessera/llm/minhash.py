@@ -20,8 +20,13 @@ groups is compared on its full sets. Bands are derived from the threshold, so th
 exactly at it shares no band with a chance of at most 2e-7 by the formula for independent
 coordinates (``banding``); above the threshold the chance is smaller.
 
+Shingles are told by 64-bit hashes that no regular text pattern makes collide, equal sets
+by 128 bits from two independent word hashes.
+
 Defined cases: null or empty text has n_shingles 0 and links with nothing; fewer than ``k``
-words form one shingle; repeated rows are equal sets; extra columns are ignored.
+words form one shingle; rows that share a doc_id or have none are documents of their own,
+a component is named by its smallest non-null doc_id (null if there is none), and just one row of it is kept; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import components, keep
+from tessera.llm.shared import by_name, components, keep, lean, numbered
 from tessera.llm.textnum import U64, mix, shingle_hashes, slices, text_buffer
 
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
@@ -66,12 +71,11 @@ def _features(k: int, bands: int, width: int):
             for i, j in slices(off):
                 n = j - i
                 o = off[i : j + 1] - off[i]
-                h, r = shingle_hashes(data[off[i] : off[j]], o, k)
+                h, second, r = shingle_hashes(data[off[i] : off[j]], o, k)
                 size = np.bincount(r, minlength=n)
-                ends = np.cumsum(size)
                 a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 np.add.at(a, r, mix(h))
-                np.add.at(b, r, mix(h ^ U64(0x5555AAAA5555AAAA)))
+                np.add.at(b, r, mix(second))
                 s = sketch(h, r, n, bands * width)
                 keys = np.zeros((n, bands), np.uint64)
                 for w in range(width):
@@ -80,7 +84,6 @@ def _features(k: int, bands: int, width: int):
                 flat = pa.array(keys.reshape(-1), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(size, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], ["doc_id", "n_shingles", "ida", "idb", "bands"])
-                del ends
 
     return run
 
@@ -90,7 +93,7 @@ def _sets(k: int):
         for batch in batches:
             data, off = text_buffer(batch.column(2))
             for i, j in slices(off):
-                h, r = shingle_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                h, _, r = shingle_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 o = np.searchsorted(r, np.arange(j - i + 1)) * 8
                 sets = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(o.astype(np.int32).tobytes()), pa.py_buffer(h.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), sets], ["doc_id", "family", "shingles"])
@@ -121,7 +124,7 @@ def linked_pairs(sets: list[np.ndarray], percent: int, wide: int = 1 << 16) -> t
 
 def _forest(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+        group = group.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)  # doc_id: the row's number
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
         ids = group["doc_id"].to_numpy()
         root = list(range(len(ids)))
@@ -163,18 +166,20 @@ def banding(percent: int, most: float = 2e-7, bands: int = 40) -> tuple[int, int
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int | None = None, width: int | None = None, block: int = 64) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id, component_id, kept.
+    """One row per document: doc_id, n_shingles, class_id, component_id, kept, rid (its row's number).
 
     ``bands`` and ``width`` come from ``percent`` (``banding``) unless both are given.
 
-    ``docs`` has doc_id (long, unique) and text. class_id is the smallest doc_id with the
-    same shingle set; component_id the smallest reachable over links of at least
+    class_id is the smallest doc_id with the same shingle set (the number of its row where
+    doc_ids are not unique); component_id the smallest reachable over links of at least
     ``percent`` per cent similarity.
     """
     if bands is None or width is None:
         bands, width = banding(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    feats = keep(docs.mapInArrow(_features(k, bands, width), "doc_id long, n_shingles long, ida long, idb long, bands array<long>"), "minhash")
+    rows, other = numbered(docs, "doc_id")
+    docs = rows.select(F.col("rid").alias("doc_id"), "text")
+    feats = keep(docs.mapInArrow(lean(_features(k, bands, width)), "doc_id long, n_shingles long, ida long, idb long, bands array<long>"), "minhash")
     ident = ["ida", "idb", "n_shingles"]
     classes = keep(feats.where("n_shingles > 0").groupBy(*ident).agg(F.min("doc_id").alias("class_id")), "classes")
     reps = feats.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
@@ -183,7 +188,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int |
     family = keep(components(reps.join(low, "band").where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()), "families")
     sizes = keep(family.groupBy("component").agg(F.count("*").alias("size")), "sizes")
 
-    sets = keep(docs.join(family.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", F.col("component").alias("family"), "text").mapInArrow(_sets(k), "doc_id long, family long, shingles binary"), "sets")
+    sets = keep(docs.join(family.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", F.col("component").alias("family"), "text").mapInArrow(lean(_sets(k)), "doc_id long, family long, shingles binary"), "sets")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
     dealt = sets.join(sizes.select(F.col("component").alias("family"), blocks.alias("blocks")), "family").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     links = keep(dealt.groupBy("family", "at").applyInPandas(_forest(percent), "a long, b long"), "forest")
@@ -194,7 +199,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int |
     named = classes.join(joined.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select(*ident, "class_id", F.coalesce("component", "class_id").alias("component_id"))
     named = keep(named, "named")
     out = feats.select("doc_id", *ident).join(named, ident, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id") == F.col("doc_id"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    if other:
+        out = by_name(out.withColumnRenamed("doc_id", "rid"), rows, "doc_id")
+        return out.select("doc_id", "n_shingles", "class_id", "component_id", "kept", "rid")
+    return out.withColumn("kept", F.col("component_id") == F.col("doc_id")).withColumn("rid", F.col("doc_id"))
 
 
 def _across(large: DataFrame, links: DataFrame, percent: int) -> DataFrame:

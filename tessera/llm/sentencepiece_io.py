@@ -2,12 +2,14 @@
 
 The model protobuf is parsed here; normaliser, metaspace marker, piece scores and byte
 fallback are rebuilt as a ``tokenizers`` pipeline: a unigram model from its scores, a BPE
-model from merges ordered by the score of the merged piece. Every distinct chunk is also
-encoded by the sentencepiece library; where ids differ its ids are taken and counted in
-``n_repaired`` (parity).
+model from merges ordered by the score of the merged piece. All ids are those of the rebuilt
+pipeline, which encodes batches of distinct chunks on several threads, and the texts decoded
+are its decoder's. Every distinct chunk is encoded by the sentencepiece library, too, and ``n_differing``
+counts the chunks of a document for which its ids are others (parity).
 
 Defined cases: null and empty texts have no ids and decode to an empty text; repeated rows
-are kept; very long texts are cut only at certain piece boundaries; extra columns are ignored.
+and null doc_ids are kept as they come; very long texts are cut only at certain piece boundaries;
+an empty table gives no rows; extra columns, also one called ``ids``, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import ChunkEncoder, cut_by_pieces
+from tessera.llm.shared import lean
 from tessera.llm.textnum import slices, text_buffer
 
 META = "▁"
@@ -139,41 +142,27 @@ class Codec:
         # message at the end of a protobuf overrides that one field.
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=raw + (b"\x1a\x02\x18\x00" if self.cuts else b""))
         used = [p for p, _, k in self.model.pieces if k in (NORMAL, USER)]
-        self.repaired = 0
-        self.encoder = ChunkEncoder(cut_by_pieces(used, META) if self.cuts else lambda data: np.zeros(len(data), bool), self._encode)
-        spelled = [bytes([int(p[3:5], 16)]) if k == BYTE else (" ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else p.replace(META, " ").encode()) for p, _, k in self.model.pieces]
-        self.size = np.array([len(x) for x in spelled], np.int64)
-        self.first = np.cumsum(self.size) - self.size
-        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+        cut = cut_by_pieces(used, META) if self.cuts else lambda data: np.zeros(len(data), bool)
+        self.encoder = ChunkEncoder(cut, self._encode, 100_000, mark=self._differs)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        theirs = self.reference.encode(texts, num_threads=2)
-        self.repaired += sum(a != b for a, b in zip(ours, theirs))
-        return theirs
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _differs(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        return [a != b for a, b in zip(ids, self.reference.encode(texts, num_threads=2))]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, id offsets per text)."""
+        """(ids, id offsets per text); ``encoder.flags`` then has the number of differing chunks per text."""
         if self.cuts and self.model.dummy_prefix:
             some = np.flatnonzero(np.diff(offsets) > 0)
             data = np.insert(data, offsets[some], 0x20)
             offsets = offsets + np.searchsorted(some, np.arange(len(offsets)))
         return self.encoder(data, offsets)
 
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, offsets) of the texts, without the dummy prefix."""
-        size = self.size[ids]
-        upto = np.concatenate(([0], np.cumsum(size)))
-        index = np.repeat(self.first[ids] - upto[:-1], size)
-        index += np.arange(len(index))
-        data, off = self.bytes[index], upto[offsets]
-        if self.model.dummy_prefix:
-            lead = off[:-1][np.diff(off) > 0]
-            lead = lead[data[lead] == 0x20]
-            keep = np.ones(len(data), bool)
-            keep[lead] = False
-            data, off = data[keep], off - np.searchsorted(lead, off)
-        return data, off
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts, without the dummy prefix."""
+        flat, at = ids.tolist(), offsets.tolist()
+        return self.tokenizer.decode_batch([flat[a:b] for a, b in zip(at, at[1:])], skip_special_tokens=False)
 
 
 _CODECS: dict[str, Codec] = {}
@@ -190,22 +179,15 @@ def _run(path: str, with_ids: bool):
         c = codec(path)
         for batch in batches:
             data, off = text_buffer(batch.column(1))
-            for i, j in slices(off, 4 << 20):
+            for i, j in slices(off, 1 << 20):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                before = c.repaired
                 ids, at = c.encode(d, o)
-                back, b = c.decode(ids, at)
-                if len(back) == len(d) and (b == o).all():
-                    bad = np.flatnonzero(back != d)
-                    same = np.ones(j - i, bool)
-                    same[np.searchsorted(o, bad, "right") - 1] = False
-                else:
-                    raw, src = back.tobytes(), d.tobytes()
-                    same = np.array([raw[b[x] : b[x + 1]] == src[o[x] : o[x + 1]] for x in range(j - i)], bool)
+                src = d.tobytes()
+                same = [x.encode() == src[a:b] for x, a, b in zip(c.decode(ids, at), o[:-1].tolist(), o[1:].tolist())]
                 view = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-                cols = [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(same), pa.array(np.full(j - i, c.repaired - before))]
-                names = ["doc_id", "n_ids", "ids_crc32", "round_trip", "n_repaired"]
+                cols = [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(c.encoder.flags, pa.int64())]
+                names = ["doc_id", "n_ids", "ids_crc32", "round_trip", "n_differing"]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
@@ -215,11 +197,10 @@ def _run(path: str, with_ids: bool):
 
 
 def encode_documents(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
-    """Per document: doc_id, n_ids, ids_crc32 (of uint32 little-endian ids), round_trip, n_repaired[, ids].
+    """Per document: doc_id, n_ids, ids_crc32 (of uint32 little-endian ids), round_trip, n_differing[, ids].
 
-    round_trip tells whether the decoded ids equal the text byte for byte; n_repaired is the
-    number of distinct chunks of the document's batch whose ids came from the library in place
-    of the rebuilt pipeline.
+    round_trip tells whether the decoded ids equal the text byte for byte; n_differing is the
+    number of the document's chunks to which the sentencepiece library gives other ids.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_run(model, with_ids), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, n_repaired long" + ", ids array<int>" * with_ids)
+    return docs.mapInArrow(lean(_run(model, with_ids)), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, n_differing long" + ", ids array<int>" * with_ids)

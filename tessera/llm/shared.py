@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,88 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def folder(spark: SparkSession) -> str:
+    """The session's own folder in the shared one; it is deleted when the driver's process ends."""
+    found = getattr(spark, "_tessera_folder", None)
+    if found is None:
+        found = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+        spark._tessera_folder = found
+        # A batch is what a Python worker holds at once; rows may hold long texts.
+        if not spark.sparkContext.getConf().contains(_BATCH):
+            spark.conf.set(_BATCH, str(8 << 20))
+
+        def clean() -> None:
+            try:
+                _delete(spark, found)
+            except Exception:  # the session's JVM has gone
+                pass
+
+        atexit.register(clean)
+    return found
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``keep`` that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._tessera_path)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that gives the memory it has freed back to the system when it ends; workers are used again."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # not the GNU C library
+
+    return task
+
+
+def numbered(df: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """``df`` with ``rid``, a number of its own for each row, and whether it is another than ``key``.
+
+    Where ``key`` is unique and never null it is the number itself; else rows are numbered and
+    written, so that numbers stay.
+    """
+    if df.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).take(1):
+        return keep(df.withColumn("rid", F.monotonically_increasing_id()), "rows"), True
+    return df.withColumn("rid", F.col(key)), False
+
+
+def by_name(out: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Rows (rid, component_id, ...) told by ``key``: adds it, and names each component by its smallest non-null key.
+
+    kept: the first row of its component, by key (nulls last), then by number. A component
+    without any key has a null component_id.
+    """
+    named = out.join(rows.select("rid", key), "rid")
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("name"), F.col("rid").alias("row")))
+    heads = named.groupBy(F.col("component_id").alias("part")).agg(first.alias("h"))
+    named = named.join(heads, named["component_id"] == heads["part"])
+    return named.withColumn("kept", F.col("rid") == F.col("h.row")).withColumn("component_id", F.col("h.name")).drop("part", "h")
 
 
 def reach(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

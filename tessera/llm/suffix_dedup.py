@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import keep
 from tessera.llm.suffix_array import MOST, repeated_starts
-from tessera.llm.textnum import U64, mix, prefix_hash, slices, span_hash, text_buffer
+from tessera.llm.textnum import U64, gram_hash, mix, slices, span_hash, text_buffer
 
 GRAM = 64
 CLASS = 35
@@ -55,8 +55,7 @@ def _sliding(x: np.ndarray, width: int, op, fill: int) -> np.ndarray:
 def _hashes(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash at each position, smallest hash of the window that starts there; 0 where none lies inside a text)."""
     width = length - GRAM + 1
-    at = np.arange(len(data) - GRAM + 1)
-    h = span_hash(prefix_hash(data), at, at + GRAM) | U64(1)
+    h = gram_hash(data) | U64(1)
     low = _sliding(h, width, np.minimum, 0xFFFFFFFFFFFFFFFF)
     ends = np.repeat(offsets[1:], np.diff(offsets))[: len(low)]
     low[ends < np.arange(len(low)) + length] = 0
@@ -142,9 +141,8 @@ def _hash_pieces(length: int):
                 batch = whole.slice(i, j - i)
                 data, o, row, entries = _flat(batch, 1, 2)
                 at, n, core, kind = pieces(data, o, np.asarray(entries).astype(np.int64) + o[row], length)
-                s, s2 = prefix_hash(data), prefix_hash(data ^ np.uint8(0x5A))
-                ca, cb = span_hash(s, at, at + n + length - 1), span_hash(s2, at, at + n + length - 1)
-                key = mix(span_hash(s, core, core + length - CLASS + 1) + kind.astype(np.uint64))
+                ca, cb = (span_hash(data, at, at + n + length - 1, seed) for seed in (0, 1))
+                key = mix(span_hash(data, core, core + length - CLASS + 1) + kind.astype(np.uint64))
                 where = np.searchsorted(o, at, "right") - 1
                 size = np.bincount(where, minlength=j - i)
                 cols = [_lists(size, pa.array(v)) for v in ((at - o[where]).astype(np.int32), n.astype(np.int32), ca.view(np.int64), cb.view(np.int64), key.view(np.int64))]
@@ -231,7 +229,7 @@ def _windows(length: int):
             row = np.repeat(np.arange(len(n)), n)
             start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             a = off[row] + start
-            wa, wb = span_hash(prefix_hash(data), a, a + length), span_hash(prefix_hash(data ^ np.uint8(0x5A)), a, a + length)
+            wa, wb = (span_hash(data, a, a + length, seed) for seed in (0, 1))
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (1, 2, 4)), pa.array(start.astype(np.int32)), pa.array(wa.view(np.int64)), pa.array(wb.view(np.int64)), batch.column(3).take(take)], ["rid", "pos", "w", "start", "wa", "wb", "n"])
 

@@ -6,6 +6,7 @@ batch stay one ``uint8`` array with offsets, and no Python object is made per wo
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,6 @@ import pyarrow as pa
 
 U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
-_P = U64(0x5851F42D4C957F2D)
-_P_INV = U64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,7 +24,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE_VALUE = mix(np.arange(256, dtype=np.uint64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 INK = np.ones(256, bool)
@@ -35,24 +33,6 @@ LETTERS = np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-class Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> None:
-        if len(self.up) < n:
-            for name, base in (("up", _P), ("down", _P_INV)):
-                a = np.full(n, base, np.uint64)
-                a[0] = 1
-                setattr(self, name, np.cumprod(a, dtype=np.uint64))
-
-
-_POWERS = Powers()
-
-
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty texts."""
     if isinstance(col, pa.ChunkedArray):
@@ -81,20 +61,75 @@ def slices(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running sums S so that (S[j] - S[i]) * base**-i is a hash of data[i:j]."""
-    n = len(data)
-    _POWERS.upto(n + 1)
-    s = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * _POWERS.up[:n], dtype=np.uint64, out=s[1:])
-    return s
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)], np.uint64)
+_LONG = 512
+
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one little-endian number; zeros follow the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8))).tobytes()
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
 
-def span_hash(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Mixed hash of each data[start:end]; the length takes part."""
-    _POWERS.upto(len(s))
-    h = (s[ends] - s[starts]) * _POWERS.down[starts]
-    return mix(h ^ (U64(0x632BE59BD9B4E019) * (ends - starts).astype(np.uint64)))
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each data[start:end]: length and seed, then eight bytes at a time, each step a bijective mix.
+
+    No step is linear in the bytes, so texts of a regular build collide no oftener than
+    others; hashes of two seeds are independent. Spans above 512 bytes go through BLAKE2b.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * U64(0x9FB21C651E98DF25) ^ mix(np.array([seed], np.uint64)))
+    if not len(size):
+        return out
+    wide = eights(data)
+    at = np.flatnonzero((size > 0) & (size <= _LONG))
+    step = 0
+    while len(at):
+        left = size[at] - step
+        block = wide[starts[at] + step]
+        short = np.flatnonzero(left < 8)
+        block[short] &= _LOW_BYTES[left[short]]
+        out[at] = mix(out[at] ^ block)
+        at = at[left > 8]
+        step += 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        raw = data[starts[i] : ends[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def gram_hash(data: np.ndarray, doublings: int = 3) -> np.ndarray:
+    """Hash of the 8 * 2**doublings bytes from each position on that has as many."""
+    n = len(data) - (8 << doublings) + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.array(eights(data)[: len(data) - 7])
+    h = mix(h)
+    for k in range(doublings):
+        w = 8 << k
+        h = (h[:-w] ^ (h[:-w] >> U64(29))) * U64(0xBF58476D1CE4E5B9) + h[w:]
+        h ^= h >> U64(32)
+        h *= U64(0xD6E8FEB86659FD93)
+    return h ^ (h >> U64(31))
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[start : start + size] equals data[other : other + size], span by span."""
+    out = np.ones(len(starts), bool)
+    wide = eights(data)
+    at = np.flatnonzero((size > 0) & (starts != other))
+    step = 0
+    while len(at) > 64:
+        left = size[at] - step
+        differ = wide[starts[at] + step] ^ wide[other[at] + step]
+        short = np.flatnonzero(left < 8)
+        differ[short] &= _LOW_BYTES[left[short]]
+        out[at] = differ == 0
+        at = at[(left > 8) & out[at]]
+        step += 8
+    for i in at.tolist():
+        out[i] = out[i] and bool((data[starts[i] + step : starts[i] + size[i]] == data[other[i] + step : other[i] + size[i]]).all())
+    return out
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, ink: np.ndarray = INK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,40 +150,39 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, row) of every run of bytes outside ``\\x20\\x09-\\x0D``."""
-    starts, ends, rows = runs(data, offsets)
-    return span_hash(prefix_hash(_LOWER[data] if lower else data), starts, ends), starts, rows
-
-
 def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.bincount(words(data, offsets)[2], minlength=len(offsets) - 1)
+    return np.bincount(runs(data, offsets)[2], minlength=len(offsets) - 1)
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the distinct ``k``-word shingles of each text, by row, then hash.
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, second hash, row) of the distinct ``k``-word shingles of each text, by row, then hash.
 
     A text of fewer than ``k`` words, and at least one, has its whole sequence as one shingle.
+    The second hash comes from word hashes of another seed, so that both together have 128 bits.
     """
-    h, _, rows = words(data, offsets, lower=True)
-    n = len(h)
+    starts, ends, rows = runs(data, offsets)
+    low = _LOWER[data]
+    n = len(starts)
     if n == 0:
-        return h, rows
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), rows
     count = np.bincount(rows, minlength=len(offsets) - 1)
     first = np.concatenate(([0], np.cumsum(count)[:-1]))
     at = np.arange(n) - first[rows]
     left = count[rows] - at
-    lead = (left >= k) | (at == 0)
-    pos = np.flatnonzero(lead)
+    pos = np.flatnonzero((left >= k) | (at == 0))
     width = np.minimum(left[pos], k)
-    out = np.zeros(len(pos), np.uint64)
-    for j in range(k):
-        on = width > j
-        out[on] = mix(out[on] * U64(0xD6E8FEB86659FD93) + h[pos[on] + j])
-    out = mix(out + width.astype(np.uint64))
+    found = []
+    for seed in (0, 1):
+        h = span_hash(low, starts, ends, seed)
+        out = np.zeros(len(pos), np.uint64)
+        for j in range(k):
+            on = width > j
+            out[on] = mix(out[on] * U64(0xD6E8FEB86659FD93) + h[pos[on] + j])
+        found.append(mix(out + width.astype(np.uint64)))
+    out, second = found
     r = rows[pos]
     order = np.lexsort((out, r))
-    out, r = out[order], r[order]
+    out, second, r = out[order], second[order], r[order]
     new = np.ones(len(out), bool)
     new[1:] = (out[1:] != out[:-1]) | (r[1:] != r[:-1])
-    return out[new], r[new]
+    return out[new], second[new], r[new]

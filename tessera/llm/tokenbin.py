@@ -6,8 +6,8 @@ per rank, four to a control byte, give the length; control and data bytes are se
 in a 256 x 4 table.
 
 File: ``TESSTOK1``, uint32 size of the vocabulary, uint32[size] ids by rank, then blocks.
-Block: uint32 number of texts, uint64 number of ids, int64[texts] doc_id, uint32[texts] ids per
-text, control bytes, uint64 number of data bytes, data bytes. All little-endian. Files
+Block: uint32 number of texts, uint64 number of ids, int64[texts] doc_id, uint8[texts] 1 where
+doc_id is null, uint32[texts] ids per text, control bytes, uint64 number of data bytes, data bytes. All little-endian. Files
 hold whole texts in ascending doc_id order, and file order is doc_id order.
 
 Plan: encode (no shuffle) -> id frequencies over all texts (one count per id and task) ->
@@ -16,8 +16,9 @@ a task-attempt name and then renamed, so a lost executor costs only its partitio
 Only the rank table, bounded by the vocabulary, reaches the driver.
 
 Defined cases: the literal of an added token in a text has that token's id, as in the
-library's own call; null or empty text has only the end id; repeated rows are kept; doc_id must
-not be null; an empty table writes no file and reads back as no rows.
+library's own call; null or empty text has only the end id; rows without doc_id come first, rows of
+one doc_id are ordered by their ids, so that reruns agree; an empty table writes no file and reads
+back as no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import ChunkEncoder, cut_byte_level
-from tessera.llm.shared import keep, shared_dir
+from tessera.llm.shared import discard, folder, keep, lean
 from tessera.llm.textnum import slices, text_buffer
 
 MAGIC = b"TESSTOK1"
@@ -102,7 +103,7 @@ def byte_level_encoder(path: str) -> ChunkEncoder:
 
     if any(a.lstrip or a.rstrip or a.single_word or a.normalized for a in added):
         return ChunkEncoder(lambda data: np.zeros(len(data), bool), lambda texts: [t.encode(x, add_special_tokens=False).ids for x in texts], 10_000)
-    return ChunkEncoder(cut_byte_level, lambda texts: [one(x) for x in texts], 1_000_000, literals)
+    return ChunkEncoder(cut_byte_level, lambda texts: [one(x) for x in texts], 250_000, literals)
 
 
 def _encoder(path: str) -> ChunkEncoder:
@@ -118,7 +119,7 @@ def _encode(path: str, wide: bool):
         encode = _encoder(path)
         for batch in batches:
             data, off = text_buffer(batch.column(1))
-            for i, j in slices(off, 4 << 20):
+            for i, j in slices(off, 2 << 20):
                 ids, at = encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 raw = ids.astype(kind).tobytes()
                 o = (at * kind(0).itemsize).astype(np.int32)
@@ -164,14 +165,15 @@ def _write(folder: str, by_rank: np.ndarray, wide: bool):
                 out = system.open_output_stream(part)
                 out.write(MAGIC + np.uint32(len(by_rank)).tobytes() + by_rank.astype("<u4").tobytes())
             data, off = text_buffer(batch.column(1))
-            for i, j in slices(off, 4 << 20):
+            for i, j in slices(off, 2 << 20):
                 ids = data[off[i] : off[j]].view(np.uint32 if wide else np.uint16)
                 ends = (off[i + 1 : j + 1] - off[i]) // (4 if wide else 2)
                 ids = np.insert(ids.astype(np.uint32), ends, END_ID)
                 size = np.diff(off[i : j + 1]) // (4 if wide else 2) + 1
                 control, packed = pack(rank[ids])
-                doc = np.asarray(batch.column(0).slice(i, j - i))
-                out.write(np.uint32(j - i).tobytes() + np.uint64(len(ids)).tobytes() + doc.astype("<i8").tobytes() + size.astype("<u4").tobytes() + control.tobytes() + np.uint64(len(packed)).tobytes() + packed.tobytes())
+                ours = batch.column(0).slice(i, j - i)
+                doc, none = np.asarray(ours.fill_null(0)), np.asarray(ours.is_null()).astype(np.uint8)
+                out.write(np.uint32(j - i).tobytes() + np.uint64(len(ids)).tobytes() + doc.astype("<i8").tobytes() + none.tobytes() + size.astype("<u4").tobytes() + control.tobytes() + np.uint64(len(packed)).tobytes() + packed.tobytes())
                 docs, total = docs + j - i, total + len(ids)
         if out is not None:
             out.close()
@@ -181,7 +183,7 @@ def _write(folder: str, by_rank: np.ndarray, wide: bool):
     return run
 
 
-def read_blocks(stream: io.RawIOBase) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def read_blocks(stream: io.RawIOBase) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(doc_ids, ids per text, ids) of each block of a file."""
 
     def take(n: int, kind: str) -> np.ndarray:
@@ -195,7 +197,8 @@ def read_blocks(stream: io.RawIOBase) -> Iterator[tuple[np.ndarray, np.ndarray,
     by_rank = take(int(take(1, "<u4")[0]), "<u4")
     while head := stream.read(4):
         n, total = int(np.frombuffer(head, "<u4")[0]), int(take(1, "<u8")[0])
-        doc, size, control = take(n, "<i8"), take(n, "<u4"), take(-(-total // 4), "u1")
+        doc = pa.array(take(n, "<i8"), mask=take(n, "u1") > 0)
+        size, control = take(n, "<u4"), take(-(-total // 4), "u1")
         yield doc, size, by_rank[unpack(control, take(int(take(1, "<u8")[0]), "u1"), total)]
 
 
@@ -212,34 +215,47 @@ def _read(folder: str):
                         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist())]
                         offs = np.concatenate(([0], ends * 4)).astype(np.int32)
                         held = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(raw)])
-                        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(begin + start), pa.array(size.astype(np.int64)), pa.array(crc, pa.int64()), held], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                        yield pa.RecordBatch.from_arrays([doc, pa.array(begin + start), pa.array(size.astype(np.int64)), pa.array(crc, pa.int64()), held], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
                         start += int(ends[-1])
 
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, vocab: int = 50_257) -> DataFrame:
-    """Encode ``docs(doc_id, text)`` and write files to ``folder``; returns the manifest (part, file, n_docs, n_ids)."""
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=END_ID) + 1
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, place: str) -> DataFrame:
+    """Encode ``docs(doc_id, text)`` and write files to ``place``; returns the manifest (part, file, n_docs, n_ids)."""
     spark = docs.sparkSession
+    vocab = vocabulary_size(tokenizer)
     wide = vocab > 1 << 16
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = keep(docs.mapInArrow(_encode(tokenizer, wide), "doc_id long, ids binary"), "ids")
+    ids = keep(docs.mapInArrow(lean(_encode(tokenizer, wide)), "doc_id long, ids binary"), "ids")
     freq = ids.select("ids").mapInArrow(_counts(wide, vocab), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     seen = [r.id for r in freq.orderBy(F.desc("n"), "id").select("id").collect()]  # at most ``vocab`` rows
     on = np.zeros(vocab, bool)
     on[seen] = True
     by_rank = np.concatenate((np.array(seen, np.int64), np.flatnonzero(~on)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    _filesystem(folder)[0].create_dir(_filesystem(folder)[1], recursive=True)
-    return keep(dealt.mapInArrow(_write(folder, by_rank, wide), "part long, file string, n_docs long, n_ids long"), "manifest")
+    dealt = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    _filesystem(place)[0].create_dir(_filesystem(place)[1], recursive=True)
+    manifest = keep(dealt.mapInArrow(lean(_write(place, by_rank, wide)), "part long, file string, n_docs long, n_ids long"), "manifest")
+    discard(ids)
+    return manifest
 
 
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
+def read_token_files(manifest: DataFrame, place: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, ids (uint32 bytes) from the files of a manifest."""
     # One row per file: the running total needs one small partition.
     before = F.coalesce(F.sum("n_ids").over(_before()), F.lit(0))
-    return manifest.select("file", before.alias("start")).repartition(F.col("file")).mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    files = manifest.select("part", "file", before.alias("start"))
+    # As many tasks as files: a number given is not merged again.
+    dealt = files.repartitionByRange(max(1, manifest.count()), "part").select("file", "start")
+    return dealt.mapInArrow(lean(_read(place)), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def _before():
@@ -250,5 +266,5 @@ def _before():
 
 def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write, then read back, in a new folder of the session's shared directory."""
-    folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    return read_token_files(write_token_files(docs, tokenizer, folder), folder)
+    place = f"{folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    return read_token_files(write_token_files(docs, tokenizer, place), place)

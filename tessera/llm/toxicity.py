@@ -7,8 +7,10 @@ is made in which every identity term is swapped for the next of its list, and th
 the score's logit between the two is penalised, so that naming a group alone moves no score.
 
 Training takes at most ``most_toxic`` + ``most_clean`` labelled rows, the first by hash of
-doc_id; rows are weighted back to the labels' own shares. The features of these rows are
-all that reaches the driver. Scoring is one pass over whole texts, without a shuffle.
+doc_id; rows are weighted back to the labels' own shares. Of their features, counted as a
+table, the ``most_features`` enter the model whose shares differ most between the classes
+and that ``least_texts`` texts or more have; only these come to the driver, so that it holds at
+most rows x ``most_features`` marks whatever the length of the texts. Scoring is one pass over whole texts, without a shuffle.
 
 Defined cases: null and empty texts get the score of a text without features; labels that
 are null are no labels, and of several labels for a document the largest counts; without
@@ -26,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textnum import LETTERS, U64, lowered, mix, prefix_hash, runs, slices, span_hash, text_buffer
+from tessera.llm.shared import keep, lean
+from tessera.llm.textnum import LETTERS, U64, lowered, mix, runs, slices, span_hash, text_buffer
 
 #: Lists of terms that stand for one another in swapped twins.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -50,11 +53,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     low = lowered(data)
     starts, ends, rows = runs(low, offsets, LETTERS)
-    s = prefix_hash(low)
-    found, where = [span_hash(s, starts, ends)], [rows]
+    found, where = [span_hash(low, starts, ends)], [rows]
     for k in _BEGINNINGS:
         on = ends - starts >= k
-        found.append(mix(span_hash(s, starts[on], starts[on] + k) + U64(k)))
+        found.append(mix(span_hash(low, starts[on], starts[on] + k) + U64(k)))
         where.append(rows[on])
     return np.concatenate(found), np.concatenate(where)
 
@@ -87,6 +89,29 @@ def _training(lists: Sequence[Sequence[str]]):
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, feature) of each feature of each row."""
+    for batch in batches:
+        data, off = text_buffer(batch.column(1))
+        flat = data.view(np.int64)
+        toxic = np.repeat(np.asarray(batch.column(0)), np.diff(off) // 8)
+        for i in range(0, len(flat), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(toxic[i : i + (1 << 18)], pa.int32()), pa.array(flat[i : i + (1 << 18)])], ["toxic", "feature"])
+
+
+def _only(keys: np.ndarray):
+    """Rows of ``_training`` with the features of ``keys`` alone."""
+
+    def some(col: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else (f := np.frombuffer(x, np.uint64))[np.isin(f, keys)].tobytes() for x in col.to_pylist()], pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), some(batch.column(1)), some(batch.column(2))], ["toxic", "own", "twin"])
+
+    return run
+
+
 @dataclass
 class Model:
     keys: np.ndarray
@@ -109,21 +134,12 @@ class Model:
         return 1 / (1 + np.exp(-logit.clip(-500, 500)))
 
 
-def fit(own: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, twins: list[tuple[int, np.ndarray]], least_texts: int = 4, most_features: int = 2000, l1: float = 1e-4, swap: float = 1.0, steps: int = 800) -> Model:
-    """L1 logistic regression by accelerated proximal gradient steps, with the twins' penalty."""
+def fit(own: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, twins: list[tuple[int, np.ndarray]], l1: float = 1e-4, swap: float = 1.0, steps: int = 800) -> Model:
+    """L1 logistic regression over the features given, by accelerated proximal gradient steps, with the twins' penalty."""
     share = np.average(toxic, weights=weight)
     flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    keys, col, texts = np.unique(flat, return_inverse=True, return_counts=True)
-    hot = np.bincount(col, toxic[row], minlength=len(keys))
-    # Features that differ most between the classes, by their two-by-two counts.
-    lift = np.abs(hot / max(toxic.sum(), 1) - (texts - hot) / max((1 - toxic).sum(), 1)) * (texts >= least_texts)
-    chosen = np.sort(np.argsort(-lift, kind="stable")[: min(most_features, int((lift > 0).sum()))])
-    place = np.full(len(keys), -1)
-    place[chosen] = np.arange(len(chosen))
-    on = place[col] >= 0
-    row, col = row[on], place[col[on]]
-    keys = keys[chosen]
+    keys, col = np.unique(flat, return_inverse=True)
     m = len(keys)
     # A twin's row holds the differences of its features to the original's.
     t_row, t_col, t_val = [], [], []
@@ -166,7 +182,7 @@ def fit(own: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, twins: lis
     return Model(keys[some], w[some], b)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean: int = 6000, lists: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean: int = 6000, most_features: int = 2000, least_texts: int = 4, lists: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
     """Model from ``labels(doc_id, toxic)`` joined with ``docs(doc_id, text)``."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -178,8 +194,14 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean
     ids = known.where("toxic = 1").orderBy(*by).limit(most_toxic).unionByName(known.where("toxic = 0").orderBy(*by).limit(most_clean))
     # At most most_toxic + most_clean ids are broadcast, and as many feature lists come back.
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
-    got = rows.mapInArrow(_training(lists), "toxic int, own binary, twin binary").toArrow().combine_chunks()
-    by_content = sorted(range(len(got)), key=lambda i: got["own"][i].as_py())
+    rows = keep(rows.mapInArrow(lean(_training(lists)), "toxic int, own binary, twin binary"), "training")
+    hot, cold = (float(n) for n in rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    each = rows.select("toxic", "own").mapInArrow(lean(_spread), "toxic int, feature long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    lift = F.abs(F.col("a") / hot - (F.col("n") - F.col("a")) / cold)
+    chosen = each.where(F.col("n") >= least_texts).withColumn("lift", lift).where("lift > 0").orderBy(F.desc("lift"), "feature").limit(most_features)
+    keys = np.sort(np.array([r.feature for r in chosen.select("feature").collect()], np.int64).view(np.uint64))
+    got = rows.mapInArrow(lean(_only(keys)), "toxic int, own binary, twin binary").toArrow().combine_chunks()
+    by_content = sorted(range(len(got)), key=lambda i: (got["toxic"][i].as_py(), got["own"][i].as_py(), got["twin"][i].as_py() or b""))
     own = [np.frombuffer(got["own"][i].as_py(), np.uint64) for i in by_content]
     toxic = np.array([got["toxic"][i].as_py() for i in by_content], float)
     twins = [(k, np.frombuffer(t, np.uint64)) for k, i in enumerate(by_content) if (t := got["twin"][i].as_py()) is not None]
@@ -199,5 +221,5 @@ def _score(model: Model):
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted for every row of ``docs(doc_id, text)``."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_score(model)), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
