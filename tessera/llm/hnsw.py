@@ -4,29 +4,37 @@ Graph (Malkov, Yashunin, 2018): each vector gets a level by its hash; neighbours
 by the diversity rule; upper levels are descended greedily and level 0 by beam search. Here
 vectors are inserted, and queries run, many at a time: one numpy step moves every beam.
 
-Plan: equal vectors form one class, held by its smallest vec_id. Classes are dealt to shards by
-hash and each shard's graph is built in one task, then audited: sampled members are compared
-with brute force over the shard, and the beam is widened until enough of their true
-neighbours are found. Blocks of queries meet every shard; a query whose beam is still full
-of links has its own beam widened. Similarities are confirmed in double precision. A task
-returns the number of links of each query and a spanning forest of them, never the pairs.
+Plan: equal vectors form one class, held by its smallest row. Classes are dealt to shards by
+hash and each shard's graph is built in one task, then audited: probes at the threshold, made
+by turning sampled members just so far, must find their member, and sampled members their
+true links by brute force over the shard; the beam is widened until both do. Graphs are
+written in parts to the shared folder. Every block of queries then meets every shard as
+a stream: a task loads one graph and passes its queries by it. A query whose beam is full of links
+is continued: dense queries near one member share one walk of the graph over all
+that lies within twice the threshold's angle of it, and are compared with what it met.
+Similarities are confirmed in double precision. A task returns the number of links of each
+query and a spanning forest of them, never the pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components
-link with nothing; vectors of different length never link; repeated rows count as other
-vectors; an empty table gives no rows; extra columns are ignored.
+link with nothing, and so do vectors of different length; any finite size of components is
+allowed; rows that share a vec_id or have none are vectors of their own, a component is
+named by its smallest non-null vec_id (null if there is none) and one row of it is kept; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import components, keep
+from tessera.llm.shared import by_name, components, discard, keep, lean, numbered, reach
 from tessera.llm.textnum import U64, mix
+from tessera.llm.vectors import matrices
 
 _SLACK = 1e-5  # of float32 similarities; what lies within is decided in double precision
 
@@ -169,119 +177,190 @@ class Graph:
         ids, sims = self._beam(q, entry, 0, width, self.count[0])
         return np.where(ids < 0, -1, self.order[ids]), sims
 
-    def within(self, q: np.ndarray, least: float, width: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """(query row, row of the matrix) of what is found at similarity ``least`` or more; a beam full of such is widened."""
-        found_q, found_r = [], []
+    def around(self, hub: int, least: float) -> np.ndarray:
+        """Nodes at similarity ``least`` or more to a node that level 0 reaches from it over such nodes."""
+        seen = np.zeros(len(self.x), bool)
+        seen[hub] = True
+        found, front, v = [np.array([hub])], np.array([hub]), self.x[hub]
+        while len(front):
+            near = np.unique(self.links[0][front])
+            near = near[near >= 0]
+            near = near[~seen[near]]
+            seen[near] = True
+            front = near[self.x[near] @ v >= least]
+            found.append(front)
+        return np.concatenate(found)
+
+    def within(self, q: np.ndarray, least: float, width: int, batch: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query rows, rows of the matrix) of what is found at similarity ``least`` or more, in pieces."""
+        q = np.ascontiguousarray(q, np.float32)
+        dense, hubs = [np.zeros(0, int)], [np.zeros(0, int)]
         for i in range(0, len(q), batch):
-            left, w = np.arange(i, min(i + batch, len(q))), width
-            while len(left):
-                ids, sims = self.nearest(q[left], w)
-                hit = (sims >= least) & (ids >= 0)
-                full = hit.all(1) & (ids.shape[1] >= w) & (w < len(self.x))
-                r, c = np.nonzero(hit & ~full[:, None])
-                found_q.append(left[r])
-                found_r.append(ids[r, c])
-                left, w = left[full], 4 * w
-        return np.concatenate(found_q or [np.zeros(0, int)]), np.concatenate(found_r or [np.zeros(0, int)])
-
-
-def audited_width(g: Graph, least: float, target: float, sample: int = 256, width: int = 48) -> int:
-    """The beam at which sampled members find ``target`` of their links, and of their nearest other member."""
-    n = len(g.x)
+            part = q[i : i + batch]
+            entry = np.zeros((len(part), 1), np.int32)
+            for k in range(len(self.links) - 1, 0, -1):
+                entry = self._beam(part, entry, k, 4, self.count[k])[0][:, :4]
+            ids, sims = self._beam(part, entry, 0, width, self.count[0])
+            hit = (sims >= least) & (ids >= 0)
+            full = hit.all(1) & (ids.shape[1] >= width) & (width < len(self.x))
+            r, c = np.nonzero(hit & ~full[:, None])
+            yield i + r, self.order[ids[r, c]]
+            dense.append(i + np.flatnonzero(full))
+            hubs.append(ids[full, 0].astype(int))
+        left, hub = np.concatenate(dense), np.concatenate(hubs)
+        wide = 2 * least * least - 1 - _SLACK  # the cosine of twice the angle
+        while len(left):
+            near = q[left] @ self.x[hub[0]] >= least
+            near[0] = True
+            nodes = self.around(int(hub[0]), wide)
+            mine = left[near]
+            for i in range(0, len(mine), 512):
+                r, c = np.nonzero(q[mine[i : i + 512]] @ self.x[nodes].T >= least)
+                yield mine[i : i + 512][r], self.order[nodes[c]]
+            left, hub = left[~near], hub[~near]
+
+
+def audited_width(g: Graph, least: float, target: float, sample: int = 512, width: int = 32) -> int:
+    """The beam at which probes at the threshold find their member, and sampled members their links, at rate ``target``."""
+    n, d = g.x.shape
     rows = np.unique(np.linspace(0, n - 1, min(n, sample)).astype(int))
-    q = g.x[rows]
-    true = q @ g.x.T
-    linked = true >= least
-    true[np.arange(len(rows)), rows] = -2
-    top = g.order[true.argmax(1)]
+    own = g.x[rows].astype(np.float64)
+    turn = np.random.default_rng(11).normal(size=own.shape)
+    turn -= (turn * own).sum(1, keepdims=True) * own
+    size = np.linalg.norm(turn, axis=1, keepdims=True)
+    near = min(1.0, least + 2e-3)
+    probes = near * own + np.sqrt(1 - near * near) * turn / np.where(size > 0, size, 1)
+    true = int((g.x[rows] @ g.x.T >= least).sum())
     while width < n:
-        ids, _ = g.nearest(q, width)
-        a, b = g.within(q, least, width)
-        near = (ids == top[:, None]).any(1).mean()
-        if len(np.unique(a * n + b)) >= target * linked.sum() and near >= target:
+        met = sum(int((g.order[rows[a]] == b).sum()) for a, b in g.within(probes, least, width))
+        links = sum(len(a) for a, _ in g.within(own, least, width))
+        if (d == 1 or met >= target * len(rows)) and links >= target * true:
             break
         width *= 2
     return width
 
 
-def _build(least: float, target: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id", ignore_index=True)
-        x = np.stack([np.asarray(v, np.float64) for v in group["embedding"]])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        g = Graph(x)
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, whatever the size of finite components."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _build(least: float, target: float, part: int = 16 << 20):
+    def solve(dim: int, shard: int, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        ids, weight, x = (np.concatenate(c) for c in zip(*held))
+        g = Graph(_units(x).astype(np.float32))
         width = audited_width(g, least - _SLACK, target)
-        blob = pickle.dumps((g, x, group["vec_id"].to_numpy(), group["n"].to_numpy(), width), 5)
-        return pd.DataFrame({"dim": [x.shape[1]], "shard": group["shard"].iloc[:1], "graph": [blob]})
+        blob = pickle.dumps((g, x, ids, weight, width), 5)
+        for i in range(0, len(blob), part):
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), pa.array([i // part], pa.int32()), pa.array([blob[i : i + part]], pa.binary())], ["dim", "shard", "part", "graph"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        at = None
+        for batch in batches:
+            dim, shard = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cuts = np.flatnonzero((dim[1:] != dim[:-1]) | (shard[1:] != shard[:-1])) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(dim)]):
+                if j == i:
+                    continue
+                if at is not None and at != (int(dim[i]), int(shard[i])):
+                    yield from solve(*at, held)
+                    held = []
+                at = int(dim[i]), int(shard[i])
+                _, x = matrices(batch.column(2).slice(i, j - i), batch.column(4).slice(i, j - i))[0]
+                exact = x.astype(np.float32)
+                held.append((np.asarray(batch.column(2))[i:j], np.asarray(batch.column(3))[i:j], exact if (exact == x).all() else x))
+        if held:
+            yield from solve(*at, held)
 
     return run
 
 
+FOUND = "a long, b long, n long"
+
+
 def _query(least: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g, x, ids, weight, width = pickle.loads(group["graph"].iloc[0])
-        group = group.sort_values("vec_id", ignore_index=True)
-        q = np.stack([np.asarray(v, np.float64) for v in group["embedding"]])
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-        qid = group["vec_id"].to_numpy()
-        a, b = g.within(q, least - _SLACK, width)
-        other = qid[a] != ids[b]
-        a, b = a[other], b[other]
-        ok = np.concatenate([np.einsum("nd,nd->n", q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)]) >= least
-        a, b = a[ok], b[ok]
-        n = np.bincount(a, weight[b], minlength=len(qid)).astype(np.int64)
-        root: dict[int, int] = {}
-
-        def top(v: int) -> int:
-            while root.setdefault(v, v) != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        for u, v in zip(qid[a].tolist(), ids[b].tolist()):
-            p, r = top(u), top(v)
-            if p != r:
-                root[max(p, r)] = min(p, r)
+    """Passes query rows by the graph whose parts come before them."""
+
+    def answer(graph: tuple, qid: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        g, x, ids, weight, width = graph
+        q = _units(q)
+        n = np.zeros(len(qid), np.int64)
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in g.within(q, least - _SLACK, width):
+            step = max(64, (1 << 21) // q.shape[1])
+            for i in range(0, len(a), step):
+                s, t = a[i : i + step], b[i : i + step]
+                other = qid[s] != ids[t]
+                s, t = s[other], t[other]
+                ok = np.einsum("nd,nd->n", q[s], _units(x[t])) >= least
+                s, t = s[ok], t[ok]
+                n += np.bincount(s, weight[t], minlength=len(n)).astype(np.int64)
+                p, r = reach(qid[s], ids[t])
+                u.append(p[p != r])
+                v.append(r[p != r])
+        p, r = reach(np.concatenate(u), np.concatenate(v))
         on = np.flatnonzero(n)
-        tree = [(u, r, 0) for u in root if (r := top(u)) != u]
-        return pd.DataFrame([*zip(qid[on].tolist(), [-1] * len(on), n[on].tolist()), *tree], columns=["a", "b", "n"]).astype("int64")
+        tree = p != r
+        columns = (np.concatenate((qid[on], p[tree])), np.concatenate((np.full(len(on), -1), r[tree])), np.concatenate((n[on], np.zeros(int(tree.sum()), np.int64))))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, graph = None, [], None
+        for batch in batches:
+            dim, shard, block = (np.asarray(batch.column(c)) for c in range(3))
+            is_graph = np.asarray(batch.column(4).is_valid())
+            change = (dim[1:] != dim[:-1]) | (shard[1:] != shard[:-1]) | (block[1:] != block[:-1]) | (is_graph[1:] != is_graph[:-1])
+            cuts = (np.flatnonzero(change) + 1).tolist()
+            for i, j in zip([0, *cuts], [*cuts, len(dim)]):
+                if i == j:
+                    continue
+                here = int(dim[i]), int(shard[i]), int(block[i])
+                if is_graph[i]:
+                    if here != at:
+                        at, parts, graph = here, [], None
+                    parts += batch.column(4).slice(i, j - i).to_pylist()
+                elif here == at:  # else no class of this length fell into the shard
+                    if graph is None:
+                        graph, parts = pickle.loads(b"".join(parts)), []
+                    yield answer(graph, *matrices(batch.column(5).slice(i, j - i), batch.column(6).slice(i, j - i))[0])
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, shard_rows: int = 200_000, least_shards: int = 4, query_rows: int = 4096, target: float = 0.98) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of ``vectors(vec_id long, embedding array)``; vec_id is unique."""
+def near_duplicates(vectors: DataFrame, least: float = 0.95, shard_rows: int = 200_000, shard_values: int = 1 << 24, least_shards: int = 4, block_rows: int = 1 << 18, target: float = 0.98) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of ``vectors(vec_id long, embedding array)``.
+
+    A shard has about ``shard_rows`` classes, or as many as have ``shard_values`` components;
+    a block of queries has at most about ``block_rows``.
+    """
+    spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     usable = F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    rows = keep(vectors.where(usable).withColumn("key", F.sha2(F.array_join("embedding", ","), 256)), "vectors")
-    classes = keep(rows.groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.first("embedding").alias("embedding"), F.count("*").alias("n")), "classes")
-    shards = max(least_shards, -(-classes.count() // shard_rows))
-    dealt = classes.withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    graphs = keep(dealt.groupBy("dim", "shard").applyInPandas(_build(least, target), "dim int, shard int, graph binary"), "graphs")
-    blocks = F.greatest(F.lit(1), F.lit(-(-classes.count() // query_rows)))
-    asked = dealt.select("dim", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(1)), blocks).cast("int").alias("block"))
-    met = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).groupBy("dim", "shard", "block")
-    found = met.cogroup(_by_block(graphs, asked).groupBy("dim", "shard", "block")).applyInPandas(_met(least), "a long, b long, n long")
-    found = keep(found, "found")
+    every, other = numbered(vectors, "vec_id")
+    rows = keep(every.where(usable).select("rid", "embedding", F.sha2(F.array_join("embedding", ","), 256).alias("key")), "vectors")
+    classes = keep(rows.groupBy("key").agg(F.min("rid").alias("rid"), F.first("embedding").alias("embedding"), F.count("*").alias("n")), "classes")
+    count, widest = classes.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    shards = max(least_shards, -(-count // shard_rows), -(-count * widest // shard_values))
+    blocks = max(1, -(-count // block_rows), -(-2 * spark.sparkContext.defaultParallelism // shards))
+    dealt = classes.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard"), "rid", "n", "embedding")
+    built = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard", "rid")
+    graphs = keep(built.mapInArrow(lean(_build(least, target)), "dim int, shard int, part int, graph binary"), "graphs")
+    nothing = F.lit(None)
+    asked = dealt.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), nothing.cast("int").alias("part"), nothing.cast("binary").alias("graph"), "rid", "embedding")
+    loaded = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "part", "graph", nothing.cast("long").alias("rid"), nothing.cast("array<double>").alias("embedding"))
+    met = loaded.unionByName(asked).repartitionById(shards * blocks, F.col("shard") * blocks + F.col("block"))
+    met = met.sortWithinPartitions("dim", "shard", "block", F.col("part").asc_nulls_last())
+    found = keep(met.mapInArrow(lean(_query(least)), FOUND), "found")
+    discard(graphs)
     joined = components(found.where("n = 0").select("a", "b"))
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("others"))
-    named = classes.select("key", "vec_id", "n").join(joined.withColumnRenamed("id", "vec_id"), "vec_id", "left").join(counts.withColumnRenamed("a", "vec_id"), "vec_id", "left")
-    named = keep(named.select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), "named")
-    out = vectors.select("vec_id").join(rows.select("vec_id", "key"), "vec_id", "left").join(named, "key", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("component_id") == F.col("vec_id"))
-
-
-def _by_block(graphs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Each shard's graph once for every block of queries of its dimension."""
-    return graphs.join(keep(asked.select("dim", "block").distinct(), "blocks"), "dim")
-
-
-def _met(least: float):
-    run = _query(least)
-
-    def both(queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(graph):
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-        return run(queries.assign(graph=graph["graph"].iloc[0]))
-
-    return both
+    named = classes.select("key", "rid", "n").join(joined.withColumnRenamed("id", "rid"), "rid", "left").join(counts.withColumnRenamed("a", "rid"), "rid", "left")
+    named = keep(named.select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rid").alias("component_id")), "named")
+    out = every.select("rid").join(rows.select("rid", "key").join(named, "key"), "rid", "left")
+    out = out.select("rid", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "rid").alias("component_id"))
+    if other:
+        return by_name(out, every, "vec_id").select("vec_id", "n_links", "component_id", "kept")
+    return out.select(F.col("rid").alias("vec_id"), "n_links", "component_id", (F.col("component_id") == F.col("rid")).alias("kept"))
