@@ -19,6 +19,7 @@ from tessera.operators import index as I
 from tessera.operators import learn as L
 from tessera.operators import recommend as R
 from tessera.operators import scoring as S
+from tessera.operators.store import Index, opened
 from tessera.operators.rules import apply_rules, word_filter as filter_words
 from tessera.operators.summarize import summarize
 from tessera.plans import search as P
@@ -61,8 +62,20 @@ def with_(*parts: str) -> str:
     return "WITH " + ", ".join(parts) + " "
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if it has fewer splits than there are cores; a large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
+
+
+def index(spark: SparkSession, d: str, source: str | None = None) -> Index:
+    """The session's stored index of the documents, or of one source's."""
+    rows = lambda: docs(spark, d) if source is None else docs(spark, d).where(F.col("source") == source)
+    return opened(spark, f"{d}/documents/{source}", rows)
 
 
 def toks(spark: SparkSession, d: str) -> DataFrame:
@@ -71,9 +84,15 @@ def toks(spark: SparkSession, d: str) -> DataFrame:
 
 # Index tables
 
+
+def index_postings(spark, d):
+    """All postings of the stored index."""
+    return spark.read.parquet(f"{index(spark, d).path}/postings")
+
+
 @query(with_(TOKS) + "SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2")
 def tok_tf(spark, d):
-    return I.term_frequencies(toks(spark, d))
+    return index_postings(spark, d).select("doc_id", "term", "tf")
 
 
 @query(with_(TOKS) + "SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tok GROUP BY 1, 2")
@@ -86,21 +105,21 @@ def char_ngrams(spark, d):
     return toks(spark, d).select(F.explode(T.char_ngrams(F.col("term"), 5)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query(with_(TOKS) + "SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(len(ts), 1)), lambda i: ts[i] || ' ' || ts[i + 1])) AS gram FROM toks) GROUP BY 1 HAVING count(*) > 1")
+@query(with_(TOKS) + "SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(len(ts), 1)), lambda i: ts[i] || ' ' || ts[i + 1])) AS gram FROM toks) GROUP BY 1")
 def word_bigrams(spark, d):
     terms = docs(spark, d).select(T.tokens(F.col("text")).alias("terms"))  # once a text, not once a gram
     grams = terms.select(F.explode(T.word_ngrams(F.col("terms"), 2)).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query(with_(TOKS) + "SELECT term, count(DISTINCT doc_id) AS num_docs, count(*) AS num_occ FROM tok GROUP BY 1")
 def dictionary_df(spark, d):
-    return I.dictionary(toks(spark, d))
+    return index(spark, d).dictionary()
 
 
 @query("WITH " + TOKS + STATS + " SELECT doc_id, doc_len, doc_index, generation FROM dstat")
 def doc_stats(spark, d):
-    return I.doc_stats(docs(spark, d))
+    return docs_stored(spark, d)
 
 
 @query("WITH " + TOKS + STATS + " SELECT floor(doc_index / 100)::BIGINT AS generation, count(*) AS num_docs, sum(doc_len)::BIGINT AS len_all_docs FROM dstat GROUP BY 1")
@@ -111,7 +130,7 @@ def shard_stats(spark, d):
 @query("WITH " + TOKS + STATS + """, g AS (SELECT term, floor(doc_index / 100)::BIGINT AS gen, count(DISTINCT doc_id) AS nd FROM tok JOIN dstat USING (doc_id) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY gen) AS i FROM g) SELECT term, round(sum(nd / greatest(gen + 1, i)), 6) AS discounted FROM r GROUP BY 1""")
 def discounted_docs(spark, d):
-    tf = I.term_frequencies(toks(spark, d)).join(I.doc_stats(docs(spark, d), 100).select("doc_id", "generation"), "doc_id")
+    tf = index_postings(spark, d).select("term", F.floor(F.col("doc_index") / 100).alias("generation"))
     return I.discounted_num_docs(tf.groupBy("term", "generation").agg(F.count("*").alias("num_docs"))).withColumn("discounted", F.round("discounted", 6))
 
 
@@ -122,39 +141,39 @@ _HAS = "(SELECT DISTINCT doc_id FROM tok WHERE term = '{}')"
 
 @query(with_(TOKS) + f"SELECT doc_id FROM {_HAS.format('the')} JOIN {_HAS.format('and')} USING (doc_id)")
 def q_and(spark, d):
-    return P.conjunct_docs(docs(spark, d), Conjunct(terms=("the", "and")))
+    return P.matches(index(spark, d), Conjunct(terms=("the", "and"))).select("doc_id")
 
 
 @query(with_(TOKS) + "SELECT DISTINCT doc_id FROM tok WHERE term IN ('der', 'les')")
 def q_or(spark, d):
     q = parse("der | les", guesses=False)
-    parts = [P.conjunct_docs(docs(spark, d), c) for c in q.blocks[0].disjuncts]
+    parts = [P.matches(index(spark, d), c).select("doc_id") for c in q.blocks[0].disjuncts]
     return parts[0].unionByName(parts[1]).distinct()
 
 
 @query(with_(TOKS) + f"SELECT doc_id FROM documents WHERE doc_id NOT IN {_HAS.format('the')}")
 def q_not(spark, d):
-    return P.conjunct_docs(docs(spark, d), Conjunct(without=("the",)))
+    return P.matches(index(spark, d), Conjunct(without=("the",))).select("doc_id")
 
 
 @query(with_(TOKS) + f"SELECT doc_id FROM {_HAS.format('and')} WHERE doc_id NOT IN {_HAS.format('thing')}")
 def q_and_not(spark, d):
-    return P.conjunct_docs(docs(spark, d), parse("and -thing").blocks[0].disjuncts[0])
+    return P.matches(index(spark, d), parse("and -thing").blocks[0].disjuncts[0]).select("doc_id")
 
 
 @query(with_(TOKS) + "SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'")
 def q_phrase(spark, d):
-    return P.conjunct_docs(docs(spark, d), parse('"of the"').blocks[0].disjuncts[0])
+    return P.matches(index(spark, d), parse('"of the"').blocks[0].disjuncts[0]).select("doc_id")
 
 
 @query(with_(TOKS) + "SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos >= a.pos + 2 WHERE a.term = 'of' AND b.term = 'en'")
 def q_phrase_gap(spark, d):
-    return P.conjunct_docs(docs(spark, d), parse('"of * en"').blocks[0].disjuncts[0])
+    return P.matches(index(spark, d), parse('"of * en"').blocks[0].disjuncts[0]).select("doc_id")
 
 
 @query(with_(TOKS) + f"SELECT doc_id FROM {_HAS.format('de')} JOIN documents USING (doc_id) WHERE lang = 'fr'")
 def q_meta_lang(spark, d):
-    return P.conjunct_docs(docs(spark, d), parse("de lang:fr").blocks[0].disjuncts[0])
+    return P.matches(index(spark, d), parse("de lang:fr").blocks[0].disjuncts[0]).select("doc_id")
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE floor(n_chars / 5000) * 5000 = 5000")
@@ -186,7 +205,51 @@ def q_disjoint_merge(spark, d):
 
 # Scoring
 
+
 _BM = "0.5 * ln(({n} - {df} + 0.5) / ({df} + 0.5)) * 3 * {occ} / ({occ} + 0.5 + 1.5 * {len} / {avg}) * {w}"
+
+
+def _search_sql(blocks: list[tuple[int, list[tuple[list[str], str, str, str, float]]]], most: int) -> str:
+    """SQL of a ranked search: blocks of (results, [(words, condition on postings, condition on documents, corpus, weight)])."""
+    parts = [TOKS.replace("\n", " ")]
+    tops = []
+    for b, (n, disjuncts) in enumerate(blocks):
+        rows = []
+        for i, (words, also, where, corpus, weight) in enumerate(disjuncts):
+            k = f"{b}_{i}"
+            terms = ", ".join(f"'{w}'" for w in words)
+            last = ", ".join(f"max(CASE WHEN term = '{w}' THEN pos END) OVER w AS l{j}" for j, w in enumerate(words))
+            left = "least(" + ", ".join(f"l{j}" for j in range(len(words))) + ")" if len(words) > 1 else "l0"
+            whole = " AND ".join(f"l{j} IS NOT NULL" for j in range(len(words)))
+            parts += [
+                f"st{k} AS (SELECT doc_id, len(ts) AS doc_len, row_number() OVER (ORDER BY doc_id) - 1 AS doc_index FROM toks JOIN documents USING (doc_id) WHERE {corpus})",
+                f"tot{k} AS (SELECT count(*) AS n, avg(doc_len) AS av FROM st{k})",
+                f"t{k} AS (SELECT tok.doc_id, term, pos FROM tok JOIN st{k} USING (doc_id) WHERE term IN ({terms}))",
+                f"p{k} AS (SELECT doc_id, term, count(*) AS tf, count(*) FILTER (pos <= 50)::DOUBLE AS ti FROM t{k} GROUP BY 1, 2)",
+                f"df{k} AS (SELECT term, count(*) AS df FROM p{k} GROUP BY 1)",
+                f"r{k} AS (SELECT doc_id, count(*) AS words, sum(" + _BM.format(n="n", df="df", occ="ti", len="50.0", avg="50.0", w="4") + " + " + _BM.format(n="n", df="df", occ="(tf - ti)", len="greatest(doc_len - 50, 1)", avg="greatest(av - 50, 1.0)", w="1") + f") AS rel FROM p{k} JOIN df{k} USING (term) JOIN st{k} USING (doc_id), tot{k} GROUP BY 1)",
+                f"c{k} AS (SELECT doc_id, pos, CASE WHEN {whole} THEN {left} END AS l FROM (SELECT doc_id, pos, {last} FROM t{k} WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)))",
+                f"x{k} AS (SELECT doc_id, sum(CASE WHEN pos < 50 THEN 4.0 ELSE 1.0 END / (pos - l + 1)) AS prox FROM (SELECT *, lag(l) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM c{k}) WHERE l IS NOT NULL AND (before IS NULL OR l > before) GROUP BY 1)",
+            ]
+            prox = "coalesce(prox, 0)" if len(words) > 1 else "1.0"
+            rows.append(f"SELECT doc_id, {i} AS branch, round((10 - log10(doc_index + 1 + 250000 * floor(doc_index / 10000))) * {weight}, 9) AS a, round(rel * {weight}, 9) AS r, round({prox} * {weight}, 9) AS p FROM r{k} JOIN st{k} USING (doc_id) LEFT JOIN x{k} USING (doc_id) JOIN documents USING (doc_id) WHERE words = {len(words)} AND {where} AND {also}")
+        parts.append(f"u{b} AS (" + " UNION ALL ".join(rows) + ")")
+        parts.append(f"m{b} AS (SELECT doc_id, arg_max(a, branch) AS a, arg_max(r, branch) AS r, arg_max(p, branch) AS p FROM u{b} GROUP BY 1)")
+        ranks = " + ".join(f"200.0 / (58 + dense_rank() OVER (ORDER BY {c} DESC))" for c in "arp")
+        parts.append(f"f{b} AS (SELECT {b} AS block, doc_id, {ranks} AS score, a AS doc_rank, r AS relevance, p AS proximity FROM m{b} ORDER BY score DESC, doc_id LIMIT {n})")
+        tops.append(f"SELECT * FROM f{b}")
+    parts.append("top AS (SELECT *, row_number() OVER (ORDER BY block, score DESC, doc_id)::INTEGER AS rank FROM (" + " UNION ALL ".join(tops) + f") QUALIFY rank <= {most})")
+    return "WITH " + ", ".join(parts)
+
+
+_PHRASE = "doc_id IN (SELECT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the')"
+_NO_THING = "doc_id NOT IN (SELECT doc_id FROM tok WHERE term = 'thing')"
+
+
+def docs_stored(spark, d):
+    return index(spark, d).documents().select("doc_id", "doc_len", "doc_index", "generation")
+
+
 _REL = "WITH " + TOKS + STATS + """, p AS (SELECT doc_id, term, count(*) AS tf, count(*) FILTER (pos <= 50)::DOUBLE AS ti FROM tok WHERE term IN ({terms}) GROUP BY 1, 2),
 df0 AS (SELECT term, count(*) AS df FROM p GROUP BY 1), tot AS (SELECT count(*) AS n, avg(doc_len) AS av FROM dstat),
 df AS (SELECT term, CASE WHEN df > n THEN 0.5 * n ELSE df END AS df FROM df0, tot),
@@ -195,8 +258,8 @@ rel AS (SELECT p.doc_id, p.term, """ + _BM.format(n="n", df="df", occ="ti", len=
 
 @query(_REL.replace("{terms}", "'the', 'thing'") + " SELECT doc_id, term, round(r, 6) AS relevance FROM rel")
 def score_bm25f(spark, d):
-    x = docs(spark, d)
-    return S.relevance(I.postings_of(x, ["the", "thing"]), I.doc_stats(x)).withColumn("relevance", F.round("relevance", 6))
+    posts = index(spark, d).postings(["the", "thing"])
+    return S.relevance(posts, docs_stored(spark, d)).withColumn("relevance", F.round("relevance", 6))
 
 
 @query("WITH " + TOKS + STATS + " SELECT doc_id, round(10 - log10(doc_index + 1 + 25 * 100 * floor(doc_index / 100)), 6) AS doc_rank FROM dstat")
@@ -205,9 +268,9 @@ def score_docrank(spark, d):
     return s.select("doc_id", F.round(S.doc_rank(F.col("doc_index"), F.col("generation"), 100), 6).alias("doc_rank"))
 
 
-@query()
+@query(_search_sql([(1 << 40, [(["the", "and"], "true", "true", "true", 1.0)])], 1 << 40) + " SELECT doc_id, round(proximity, 6) AS proximity FROM top")
 def score_proximity(spark, d):
-    return P.conjunct_scores(docs(spark, d), Conjunct(terms=("the", "and"))).select("doc_id", F.round("proximity", 6).alias("proximity"))
+    return P.conjunct_scores(index(spark, d), Conjunct(terms=("the", "and"))).select("doc_id", F.round("proximity", 6).alias("proximity"))
 
 
 _FUSED = _REL.replace("{terms}", "'the'") + """, m AS (SELECT doc_id, round(10 - log10(doc_index + 1 + 250000 * generation), 9) AS a, round(r, 9) AS b FROM rel JOIN dstat USING (doc_id)),
@@ -216,33 +279,36 @@ f AS (SELECT doc_id, 300.0 / (58 + dense_rank() OVER (ORDER BY a DESC)) + 300.0
 
 @query(_FUSED + " SELECT doc_id, round(s, 6) AS score FROM f")
 def rank_fusion(spark, d):
-    rows = P.conjunct_scores(docs(spark, d), Conjunct(terms=("the",)))
+    rows = P.conjunct_scores(index(spark, d), Conjunct(terms=("the",)))
     rows = rows.withColumns({c: F.round(c, 9) for c in ("doc_rank", "relevance")})
     return S.fuse(rows, ("doc_rank", "relevance")).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(_FUSED + " SELECT doc_id, round(s, 6) AS score, lang, source FROM f JOIN documents USING (doc_id) ORDER BY round(s, 6) DESC, doc_id LIMIT 10")
 def topk_materialize(spark, d):
-    x = docs(spark, d)
     top = rank_fusion(spark, d).orderBy(F.desc("score"), "doc_id").limit(10)
-    return x.select("doc_id", "lang", "source").join(F.broadcast(top), "doc_id").select("doc_id", "score", "lang", "source")
+    shelf = index(spark, d).documents().select("doc_id", "shelf").join(F.broadcast(top), "doc_id")
+    return index(spark, d).summaries(shelf).select("doc_id", "score", "lang", "source")
 
 
-@query()
+_SNIPPET = r"regexp_extract_all(text, '(?is).{0,20}\b(?:{words})\b.{0,40}')"
+
+
+@query(_search_sql([(20, [(["and", "of", "the"], _PHRASE + " AND " + _NO_THING, "lang = 'en'", "true", 1.0)])], 20) + r""" SELECT doc_id, lang, source, array_to_string(list_transform((SNIP)[1:3], lambda x: trim(x)), ' ... ') AS snippet,
+rank, round(score, 6) AS score, round(doc_rank, 6) AS doc_rank, round(relevance, 6) AS relevance, round(proximity, 6) AS proximity FROM top JOIN documents USING (doc_id)""".replace("SNIP", _SNIPPET.replace("{words}", "and|of|the")))
 def search_ranked(spark, d):
-    out = P.search(docs(spark, d), '"of the" and lang:en -thing', most=20)
+    out = P.search(index(spark, d), '"of the" and lang:en -thing', most=20)
     return out.withColumns({c: F.round(c, 6) for c in ("score", "doc_rank", "relevance", "proximity")})
 
 
-@query()
+@query(_search_sql([(3, [(["der"], "true", "true", "true", 1.0), (["die"], "true", "true", "true", 1.0)]), (2, [(["les"], "true", "true", "true", 1.0)])], 10) + " SELECT rank, doc_id, round(score, 6) AS score FROM top")
 def q_blocks(spark, d):
-    return P.search(docs(spark, d), "#3# der | die #2# les", most=10).select("rank", "doc_id", F.round("score", 6).alias("score"))
+    return P.search(index(spark, d), "#3# der | die #2# les", most=10).select("rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(_search_sql([(5, [(["the"], "true", "true", "documents.source = 'src1'", 1.0), (["the"], "true", "true", "documents.source = 'src2'", 0.5)])], 5) + " SELECT rank, doc_id, round(score, 6) AS score FROM top")
 def q_mix_weighted(spark, d):
-    x = docs(spark, d)
-    corpora = {None: x, "a": x.where("source = 'src1'"), "b": x.where("source = 'src2'")}
+    corpora = {None: index(spark, d), "a": index(spark, d, "src1"), "b": index(spark, d, "src2")}
     return P.search(corpora, mix("the", [(5, [("a", 1.0, ""), ("b", 0.5, "")])]), most=5).select("rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -352,11 +418,19 @@ def link_edges(spark, d):
     return edges(spark, d).groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
-@query(with_(EDGES) + r"SELECT page_id, link, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN regexp_replace(link, '#.*$', '') ELSE regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || regexp_replace(link, '#.*$', '') END AS target FROM edges WHERE (starts_with(link, '/') AND NOT starts_with(link, '//') AND NOT contains(link, '//') AND NOT contains(link, '/.')) OR regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:')")
+#: The parts of a joined path are walked from the last to the first: a part stays if no ".." after it takes it away.
+_RESOLVED = with_(EDGES) + r""", l AS (SELECT DISTINCT page_id, url, link, regexp_replace(link, '#.*$', '') AS rest, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root, {path} AS p FROM edges),
+j AS (SELECT *, CASE WHEN starts_with(rest, '/') THEN rest ELSE regexp_replace(p, '[^/]*$', '') || rest END AS joined FROM l),
+k AS (SELECT *, list_filter(string_split(joined, '/'), lambda x: x <> '' AND x <> '.') AS ps FROM j),
+f AS (SELECT *, list_reduce(list_concat(['|'], list_transform(ps, lambda x: replace(x, '|', chr(1)))), lambda a, x: CASE WHEN a IS NULL THEN NULL WHEN x <> '..' THEN a || x || '|' WHEN a = '|' THEN NULL ELSE regexp_replace(a, '[^|]*[|]$', '') END) AS st FROM k)
+SELECT page_id, link, CASE WHEN regexp_matches(rest, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN rest WHEN starts_with(rest, '//') THEN lower(regexp_extract(url, '^([A-Za-z]+):', 1)) || ':' || rest
+  WHEN st IS NULL THEN NULL ELSE root || '/' || replace(replace(trim(st, '|'), '|', '/'), chr(1), '|') || CASE WHEN ends_with(joined, '/') AND st <> '|' THEN '/' ELSE '' END END AS target FROM f""".replace("{path}", PATH)
+
+
+@query(_RESOLVED)
 def canonical_links(spark, d):
-    e = edges(spark, d)
-    plain = e.where((F.col("link").startswith("/") & ~F.col("link").contains("//") & ~F.col("link").contains("/.")) | F.col("link").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"))
-    return plain.select("page_id", "link", U.resolve(F.col("link"), F.col("url")).alias("target"))
+    e = edges(spark, d).distinct()
+    return e.select("page_id", "link", U.resolve(F.col("link"), F.col("url")).alias("target"))
 
 
 @query(with_(EDGES) + "SELECT page_id, count(*) AS n, count(DISTINCT link) AS distinct_links FROM edges GROUP BY 1")
@@ -568,14 +642,8 @@ def rec_item_tf(spark, d):
     return _items(spark, d)[1].withColumn("log_freq", F.round("log_freq", 6))
 
 
-@query("WITH " + _REC + " SELECT user_id, term, freq FROM ut WHERE user_id < 20")
-def rec_user_tf(spark, d):
-    c, tf = _items(spark, d)
-    return R.user_tf(tf, _views(spark, d, c).where("user_id < 20")).select("user_id", "term", "freq")
-
-
 @query("WITH " + _REC + " SELECT user_id, term, freq FROM ut")
-def rec_user_tf_all(spark, d):
+def rec_user_tf(spark, d):
     c, tf = _items(spark, d)
     return R.user_tf(tf, _views(spark, d, c)).select("user_id", "term", "freq")
 
@@ -585,15 +653,12 @@ def rec_idf(spark, d):
     return R.idf(_items(spark, d)[1], "item_id", 1 << 30).withColumn("idf", F.round("idf", 6))
 
 
-_COS = ", cs AS (SELECT user_id, item_id, sum(u.w * i.w) / (sqrt(sum(u.w * u.w)) * sqrt(sum(i.w * i.w))) AS s FROM uw u JOIN iw i USING (term) WHERE user_id < 20 GROUP BY 1, 2)"
-
+_COS = ", cs AS (SELECT user_id, item_id, sum(u.w * i.w) / (sqrt(sum(u.w * u.w)) * sqrt(sum(i.w * i.w))) AS s FROM uw u JOIN iw i USING (term) GROUP BY 1, 2)"
 
-_COS_ALL = ", cs AS (SELECT user_id, item_id, sum(u.w * i.w) / (sqrt(sum(u.w * u.w)) * sqrt(sum(i.w * i.w))) AS s FROM uw u JOIN iw i USING (term) GROUP BY 1, 2)"
 
-
-def _similar(spark, d, users="user_id < 20"):
+def _similar(spark, d):
     c, tf = _items(spark, d)
-    views = _views(spark, d, c).where(users)
+    views = _views(spark, d, c)
     idf = R.idf(tf, "item_id", 1 << 30)
     return R.cosine_shared(R.weights(R.user_tf(tf, views), idf, "user_id"), R.weights(tf, idf, "item_id")), views
 
@@ -609,17 +674,6 @@ def rec_topk(spark, d):
     return R.top_items(similar.withColumn("similarity", F.round("similarity", 6)), views).select("user_id", "item_id", "rank")
 
 
-@query("WITH " + _REC + _COS_ALL + " SELECT user_id, item_id, round(s, 6) AS similarity FROM cs")
-def rec_cosine_all(spark, d):
-    return _similar(spark, d, "true")[0].withColumn("similarity", F.round("similarity", 6))
-
-
-@query("WITH " + _REC + _COS_ALL + " SELECT user_id, item_id, rank FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(s, 6) DESC, item_id) AS rank FROM cs ANTI JOIN v USING (user_id, item_id)) WHERE rank <= 3")
-def rec_topk_all(spark, d):
-    similar, views = _similar(spark, d, "true")
-    return R.top_items(similar.withColumn("similarity", F.round("similarity", 6)), views).select("user_id", "item_id", "rank")
-
-
 # Vectors, codecs, learning
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS q FROM embeddings)
@@ -648,14 +702,14 @@ def queue_weight(spark, d):
 
 @query(with_(TOKS) + "SELECT doc_id, string_agg((pos - p)::VARCHAR, ',' ORDER BY pos) AS deltas FROM (SELECT doc_id, pos, coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS p FROM tok WHERE term = 'the') GROUP BY 1")
 def delta_list(spark, d):
-    return I.postings_of(docs(spark, d), ["the"]).select("doc_id", F.array_join(C.delta(F.col("positions")).cast("array<string>"), ",").alias("deltas"))
+    return index(spark, d).postings(["the"]).select("doc_id", F.array_join(C.delta(F.col("positions")).cast("array<string>"), ",").alias("deltas"))
 
 
 _LABELLED = with_(TOKS) + ", ft AS (SELECT DISTINCT doc_id, term FROM tok), s0 AS (SELECT term, sum(toxic) AS tl, sum(1 - toxic) AS tnl FROM ft JOIN labels USING (doc_id) GROUP BY 1), s AS (SELECT term, tl, tnl, (SELECT sum(toxic) FROM labels) AS pos, (SELECT sum(1 - toxic) FROM labels) AS neg FROM s0)"
 
 
 def _features(spark, d):
-    features = docs(spark, d).select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    features = index_postings(spark, d).select("doc_id", "term")
     return features, table(spark, d, "labels").select("doc_id", F.col("toxic").cast("long").alias("label"))
 
 
@@ -677,8 +731,8 @@ def ml_nb_classify(spark, d):
 
 @query(with_(TOKS) + ", tf AS (SELECT doc_id, term, count(*) AS f FROM tok GROUP BY 1, 2), df AS (SELECT term, count(*) AS n FROM tf GROUP BY 1), r AS (SELECT doc_id, term, (1 + ln(f)) * ln(((SELECT count(*) FROM documents) + 1) / (n + 1)) AS w FROM tf JOIN df USING (term)) SELECT doc_id, term, round(w / l, 6) AS weight FROM r JOIN (SELECT doc_id, sqrt(sum(w * w)) AS l FROM r GROUP BY 1) USING (doc_id) WHERE l > 0")
 def ml_tfidf(spark, d):
-    x = docs(spark, d)
-    return L.tf_idf(I.term_frequencies(I.tokens(x)), x.count()).withColumn("weight", F.round("weight", 6))
+    tf = index_postings(spark, d).select("doc_id", "term", "tf")
+    return L.tf_idf(tf, index(spark, d).docs).withColumn("weight", F.round("weight", 6))
 
 
 @query("SELECT event_id, nth FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 3600) ORDER BY floor(epoch(ts)), event_id) AS nth FROM events) WHERE nth <= 2")
@@ -698,29 +752,20 @@ def queue_normalize(spark, d):
     return A.normalized(rows, "w", 1000.0).select("page_id", F.round("normal", 6).alias("normal"))
 
 
-@query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 2 = 0) GROUP BY 1 HAVING line NOT IN (SELECT unnest(string_split(text, chr(10))) FROM documents WHERE doc_id % 2 = 1)")
-def diff_lines(spark, d):
-    line = F.explode(F.split("text", "\n")).alias("line")
-    x = docs(spark, d)
-    return x.where("doc_id % 2 = 0").select(line).join(x.where("doc_id % 2 = 1").select(line), "line", "left_anti").groupBy("line").agg(F.count("*").alias("n"))
-
-
 @query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1 HAVING line NOT IN (SELECT unnest(string_split(text, chr(10))) FROM benchmark)")
-def diff_lines_all(spark, d):
+def diff_lines(spark, d):
     line = F.explode(F.split("text", "\n")).alias("line")
     return docs(spark, d).select(line).join(table(spark, d, "benchmark").select(line), "line", "left_anti").groupBy("line").agg(F.count("*").alias("n"))
 
 
 # Pages, summaries, stems, streams
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')")
-def html_summary(spark, d):
-    rows = table(spark, d, "pages").where(~F.regexp_extract("html", "<title>([^<]*)</title>", 1).contains("&"))
-    return H.html_pages(rows).select("page_id", "title", F.coalesce("lang", F.lit("")).alias("lang"))
-
+#: Titles as the HTML standard reads them: entities of the five signs, white space squeezed.
+_TITLES = r"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS title, lang FROM t"""
 
-@query()
-def html_summary_all(spark, d):
+@query(_TITLES)
+def html_summary(spark, d):
     return H.html_pages(table(spark, d, "pages")).select("page_id", "title", F.coalesce("lang", F.lit("")).alias("lang"))
 
 
@@ -793,14 +838,8 @@ def word_filter_rules(spark, d):
     return filter_words(docs(spark, d), [("the#3,-der", "KEEP"), ("der#0.01", "GERMAN")]).select("doc_id", "actions")
 
 
-@query("SELECT sum(v) AS sum, avg(v) AS avg, min(v) AS min, max(v) AS max FROM (SELECT l_orderkey AS row, l_linenumber AS col, l_quantity AS v FROM lineitem) WHERE row BETWEEN 0 AND 99 AND col BETWEEN 1 AND 3")
-def sheet_sum_avg(spark, d):
-    cells = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.col("l_quantity").alias("value"))
-    return range_aggregate(cells, "B1", "D100")
-
-
 @query("SELECT sum(l_quantity) AS sum, avg(l_quantity) AS avg, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem")
-def sheet_sum_avg_all(spark, d):
+def sheet_sum_avg(spark, d):
     cells = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.col("l_quantity").alias("value"))
     end = cells.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()
     return range_aggregate(cells, "A1", cell(end.row or 0, end.col or 0))

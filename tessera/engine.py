@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,18 +14,23 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import analytics as A
 from tessera.operators import index as I
+from tessera.operators.store import Index, opened
 from tessera.plans import search as P
 from tessera.plans.parser import Conjunct, Query, Block
 
 
 class Engine:
-    """One corpus(doc_id, text, lang, source, ...) and the queries one can put to it."""
+    """One corpus(doc_id, text, ...) and the queries one can put to it; its index is built at first use."""
 
     def __init__(self, corpus: DataFrame, indexes: dict[str, DataFrame] | None = None) -> None:
         self.corpora: dict[str | None, DataFrame] = {None: corpus, **(indexes or {})}
+        self.name = uuid.uuid4().hex
+
+    def indexes(self) -> dict[str | None, Index]:
+        return {k: opened(c.sparkSession, f"{self.name}/{k}", lambda c=c: c) for k, c in self.corpora.items()}
 
     def search(self, query: str, most: int = 10, offset: int = 0) -> DataFrame:
-        return P.search(self.corpora, query, most, offset)
+        return P.search(self.indexes(), query, most, offset)
 
     def top_terms(self, doc_id: int, most: int = 3) -> list[str]:
         """A document's most frequent terms (at most ``most`` rows come back)."""
@@ -33,17 +39,17 @@ class Engine:
         return [r.term for r in rows.orderBy("rank").collect()]
 
     def related(self, doc_id: int, most: int = 10) -> DataFrame:
-        """Documents that share a document's top terms, without itself."""
+        """The first ``most`` documents that share a document's top terms, without itself."""
         terms = tuple(self.top_terms(doc_id))
-        found = P.search(self.corpora, Query((Block((Conjunct(terms=terms),)),)), most + 1)
-        return found.where(F.col("doc_id") != doc_id)
+        found = P.search(self.indexes(), Query((Block((Conjunct(terms=terms),)),)), most + 1)
+        return found.where(F.col("doc_id") != doc_id).orderBy("rank").limit(most)
 
     def cached(self, doc_id: int, words: list[str] | None = None) -> DataFrame:
         """The stored text, query words in bold."""
         return self.corpora[None].where(F.col("doc_id") == doc_id).withColumn("text", T.bold(F.col("text"), words or []))
 
     def explain(self, query: str) -> str:
-        return P.explain(self.corpora[None], query)
+        return P.explain(self.indexes()[None], query)
 
 
 def main(args: list[str]) -> None:

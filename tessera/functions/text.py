@@ -30,7 +30,7 @@ def word_ngrams(terms: Column, n: int) -> Column:
 def sentences(text: Column) -> Column:
     """Parts that end in a sentence mark before white space, or at a blank line."""
     marked = F.regexp_replace(text, r"([.!?])\s+|\n\s*\n", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def without_stop_words(terms: Column, stop_words: Sequence[str]) -> Column:
@@ -50,9 +50,9 @@ def snippet(text: Column, words: Sequence[str], left: int = 20, right: int = 40,
     """Up to ``most`` windows around query words, joined by " ... "; the text's beginning if there is none."""
     if not words:
         return F.substring(text, 1, left + right)
-    pattern = rf"(?is).{{0,{left}}}\b(?:" + "|".join(map(_quoted, words)) + rf")\b.{{0,{right}}}"
+    pattern = rf"(?is).{{0,{left}}}(?<![\p{{L}}\p{{N}}_])(?:" + "|".join(map(_quoted, words)) + rf")(?![\p{{L}}\p{{N}}_]).{{0,{right}}}"
     found = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, most)
-    return F.when(F.size(found) > 0, F.array_join(F.transform(found, F.trim), " ... ")).otherwise(F.substring(text, 1, left + right))
+    return F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda s: F.trim(s)), " ... ")).otherwise(F.substring(text, 1, left + right))
 
 
 def strip_markup(page: Column) -> Column:

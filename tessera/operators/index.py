@@ -41,18 +41,31 @@ def dictionary(toks: DataFrame) -> DataFrame:
     return term_frequencies(toks).groupBy("term").agg(F.count("*").alias("num_docs"), F.sum("tf").alias("num_occ"))
 
 
-def doc_stats(corpus: DataFrame, generation: int = GENERATION) -> DataFrame:
+def bands(rows: DataFrame, name: str, count: int) -> DataFrame:
+    """``rows`` with ``band``, from 0: ranges of the column ``name`` of about equal numbers of rows, nulls first.
+
+    The bounds are one row of ``count`` quantiles, joined by broadcast; equal values share a band.
+    """
+    cuts = [i / count for i in range(1, count)] or [0.5]
+    bounds = rows.agg(F.percentile_approx(name, F.array(*map(F.lit, cuts)), F.lit(100 * count)).alias("bounds"))
+    band = F.coalesce(F.size(F.filter("bounds", lambda b: b <= F.col(name))), F.lit(0))
+    return rows.join(F.broadcast(bounds)).withColumn("band", band).drop("bounds")
+
+
+def doc_stats(corpus: DataFrame, generation: int = GENERATION, count: int | None = None) -> DataFrame:
     """(doc_id, doc_len, doc_index, generation); doc_index counts documents by doc_id.
 
-    Ranks come from sorted ranges: rows are counted per range, so no task sees all of them.
+    Documents are ranked within bands of doc_ids of about equal size, as many as there are shuffle
+    partitions, and the bands' counts are added up: whatever the doc_ids, no task sees all of them.
     """
-    sized = corpus.select("doc_id", F.size(T.tokens(F.col("text"))).alias("doc_len"))
-    width = 1 << 12
-    band = F.floor(F.col("doc_id") / width)
+    count = count or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = corpus.select("doc_id", F.coalesce(F.size(T.tokens(F.col("text"))), F.lit(0)).alias("doc_len"))
+    placed = bands(sized, "doc_id", count)
     inside = F.row_number().over(Window.partitionBy("band").orderBy("doc_id")) - 1
-    before = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = corpus.groupBy(band.alias("band")).agg(F.count("*").alias("n")).select("band", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    out = sized.withColumn("band", band).withColumn("inside", inside).join(bands, "band")
+    before = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)  # one row a band
+    counts = bands(corpus.select("doc_id"), "doc_id", count).groupBy("band").agg(F.count("*").alias("n"))
+    counts = counts.select("band", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    out = placed.withColumn("inside", inside).join(F.broadcast(counts), "band")
     index = F.col("before") + F.col("inside")
     return out.select("doc_id", "doc_len", index.alias("doc_index"), F.floor(index / generation).alias("generation"))
 
@@ -67,9 +80,3 @@ def discounted_num_docs(by_generation: DataFrame) -> DataFrame:
     i = F.row_number().over(Window.partitionBy("term").orderBy("generation"))
     part = F.col("num_docs") / F.greatest(F.col("generation") + 1, i)
     return by_generation.withColumn("part", part).groupBy("term").agg(F.sum("part").alias("discounted"))
-
-
-def write_index(posts: DataFrame, stats: DataFrame, path: str) -> None:
-    """K5: postings by generation, sorted by term so that row groups can be skipped."""
-    placed = posts.join(stats.select("doc_id", "generation"), "doc_id")
-    placed.repartition("generation", "term").sortWithinPartitions("generation", "term", "doc_id").write.mode("overwrite").partitionBy("generation").parquet(path)

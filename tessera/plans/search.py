@@ -1,8 +1,8 @@
-"""Plans for parsed queries over a corpus (J1-J6, U-1-U-8, S1-S3, P11-P13, O5-O6).
+"""Plans for parsed queries over a corpus or its stored index (J1-J6, U-1-U-8, S1-S3, P11-P13, O5-O6).
 
-A conjunct becomes one scan that keeps only the postings of its words, one shuffle by
-document that counts them, and semi or anti joins for what remains. Summaries are joined
-last, to the ranked keys alone.
+``conjunct_docs`` filters a corpus directly; ``matches`` and ``search`` read the stored index: the postings of the
+query's words, one shuffle by document that counts them, and semi or anti joins for what
+remains. Summaries are joined last, to the ranked keys alone.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import index as I
 from tessera.operators import scoring as S
+from tessera.operators.store import Index
 from tessera.plans.parser import Block, Conjunct, Query, parse
 
 
@@ -86,7 +87,8 @@ def conjunct_docs(corpus: DataFrame, c: Conjunct, posts: DataFrame | None = None
         return docs.select("doc_id")
     terms = T.tokens(F.col("text"))
     if c.without:
-        docs = docs.where(~F.arrays_overlap(terms, F.array(*map(F.lit, c.without))))
+        # A document without text has none of the words.
+        docs = docs.where(~F.coalesce(F.arrays_overlap(terms, F.array(*map(F.lit, c.without))), F.lit(False)))
     if not c.words:
         return docs.select("doc_id")
     posts = posts if posts is not None else I.postings_of(docs, list(c.words))
@@ -97,15 +99,15 @@ def conjunct_docs(corpus: DataFrame, c: Conjunct, posts: DataFrame | None = None
     return out
 
 
-def _follow(phrase: tuple[str | None, ...], positions: dict[str, str]) -> Column:
-    """P11 within a row: whether the words of a phrase follow each other, given a column of positions per word."""
+def _follow(phrase: tuple[str | None, ...]) -> Column:
+    """P11 within a row: whether the words of a phrase follow each other, by the map ``by_term`` of positions."""
     at: Column | None = None
     gap = False
     for w in phrase:
         if w is None:
             gap = at is not None
             continue
-        here = F.col(positions[w])
+        here = F.element_at("by_term", F.lit(w))
         if at is None:
             at = here
         elif gap:
@@ -116,65 +118,102 @@ def _follow(phrase: tuple[str | None, ...], positions: dict[str, str]) -> Column
     return F.size(at) > 0
 
 
-def conjunct_scores(corpus: DataFrame, c: Conjunct, per_generation: int = I.GENERATION) -> DataFrame:
-    """doc_id, doc_rank, relevance, proximity of a conjunct's documents, times its weight.
+def _condition(c: Conjunct, columns: list[str]) -> Column | None:
+    parts = [field_condition(name, value, columns) for name, value in c.fields]
+    parts += [~field_condition(name, value, columns) for name, value in c.not_fields]
+    return reduce(lambda a, b: a & b, parts) if parts else None
+
 
-    A document's positions of the words stand in its own row, so matching and scoring need no
-    shuffle; one row of totals over the corpus, and the document ranks, are joined to the matches.
+def matches(index: Index, c: Conjunct) -> DataFrame:
+    """Documents of the stored index that satisfy a conjunct: doc_id, shelf, doc_len, doc_index, generation, by_term.
+
+    The postings of the words meet by document, the one shuffle; excluded words and conditions
+    on columns are anti and semi joins of doc_ids.
     """
-    rank = I.doc_stats(corpus, per_generation).select("doc_id", S.doc_rank(F.col("doc_index"), F.col("generation"), per_generation).alias("doc_rank"))
-    if not c.words:
-        return conjunct_docs(corpus, c).join(rank, "doc_id").withColumns({"relevance": F.lit(1.0), "proximity": F.lit(1.0)})
-    names = {w: f"_p{i}" for i, w in enumerate(c.words)}
-    rows = corpus.withColumn("_terms", F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")))
-    place = lambda w: F.filter(F.transform("_terms", lambda t, i: F.when(t == w, i + 1)), lambda p: p.isNotNull())
-    rows = rows.withColumns({p: place(w) for w, p in names.items()}).withColumn("_len", F.size("_terms"))
-    totals = rows.agg(F.count("*").alias("_docs"), F.avg("_len").alias("_average"), *[F.count_if(F.size(p) > 0).alias(f"_df{p}") for p in names.values()])
-    keep = reduce(lambda a, b: a & b, [F.size(p) > 0 for p in names.values()])
-    for name, value in c.fields:
-        keep = keep & field_condition(name, value, corpus.columns)
-    for name, value in c.not_fields:
-        keep = keep & ~field_condition(name, value, corpus.columns)
+    docs = index.documents()
+    stats = ("shelf", "doc_len", "doc_index", "generation")
+    where = _condition(c, docs.columns)
+    if c.words:
+        met = index.postings(c.words).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("by_term"), *[F.first(x).alias(x) for x in stats])
+        met = met.where(F.size("by_term") == len(c.words))
+        for phrase in c.phrases:
+            if len(phrase) > 1:
+                met = met.where(_follow(phrase))
+        if where is not None:
+            met = met.join(docs.where(where).select("doc_id"), "doc_id", "left_semi")
+    else:
+        met = (docs if where is None else docs.where(where)).select("doc_id", *stats, F.lit(None).cast("map<string,array<int>>").alias("by_term"))
     if c.without:
-        keep = keep & ~F.arrays_overlap("_terms", F.array(*map(F.lit, c.without)))
-    for phrase in c.phrases:
-        if len(phrase) > 1:
-            keep = keep & _follow(phrase, names)
-    found = rows.where(keep).select("doc_id", "_len", *names.values()).join(F.broadcast(totals))  # one row
-    relevance = reduce(lambda a, b: a + b, [S.field_relevance(F.col(p), F.col("_len"), F.col("_average"), F.col(f"_df{p}"), F.col("_docs")) for p in names.values()])
-    near = S.cover_score(F.array(*[F.struct(F.lit(w).alias("term"), F.col(p).alias("positions")) for w, p in sorted(names.items())])) if len(names) > 1 else F.lit(1.0)
+        met = met.join(index.postings(c.without).select("doc_id"), "doc_id", "left_anti")
+    return met
+
+
+def conjunct_scores(index: Index, c: Conjunct, per_generation: int = I.GENERATION) -> DataFrame:
+    """doc_id, shelf, doc_rank, relevance, proximity of a conjunct's documents, times its weight.
+
+    Numbers of documents with a word are read from the dictionary, one row a word, and the totals
+    are the index's own: scoring joins nothing.
+    """
+    met = matches(index, c)
+    rank = S.doc_rank(F.col("doc_index"), F.col("generation"), per_generation)
+    relevance, near = F.lit(1.0), F.lit(1.0)
+    if c.words:
+        have = index.num_docs(c.words)
+        at = {w: F.element_at("by_term", F.lit(w)) for w in c.words}
+        relevance = reduce(lambda a, b: a + b, [S.field_relevance(at[w], F.col("doc_len"), F.lit(float(index.average)), F.lit(float(have[w])), F.lit(float(index.docs))) for w in c.words])
+        if len(c.words) > 1:
+            near = S.cover_score(F.array(*[F.struct(F.lit(w).alias("term"), at[w].alias("positions")) for w in sorted(c.words)]))
     w = F.lit(c.weight)
-    scored = found.select("doc_id", (relevance * w).alias("relevance"), (near * w).alias("proximity"))
-    return scored.join(rank, "doc_id").select("doc_id", (F.col("doc_rank") * w).alias("doc_rank"), "relevance", "proximity")
+    return met.select("doc_id", "shelf", (rank * w).alias("doc_rank"), (relevance * w).alias("relevance"), (near * w).alias("proximity"))
+
+
+def _most(index: Index, c: Conjunct) -> int:
+    """A bound of a conjunct's matches: the documents of its rarest word."""
+    return min(index.num_docs(c.words).values()) if c.words else index.docs
 
 
-def block_scores(corpus: dict[str | None, DataFrame], b: Block) -> DataFrame:
-    """U-1: the union of a block's disjuncts; of a document in several the last one stands."""
-    parts = [conjunct_scores(corpus.get(c.index, corpus[None]), c).withColumn("branch", F.lit(i)) for i, c in enumerate(b.disjuncts)]
+def block_scores(indexes: dict[str | None, Index], b: Block) -> DataFrame:
+    """U-1: the union of a block's disjuncts; of a document in several the last one stands.
+
+    Scores are compared at nine places, so that ranks do not hang on the order of a sum.
+    """
+    fields = ("doc_rank", "relevance", "proximity")
+    parts, rows = [], 0
+    for i, c in enumerate(b.disjuncts):
+        index = indexes.get(c.index, indexes[None])
+        parts.append(conjunct_scores(index, c).withColumns({f: F.round(f, 9) for f in fields}).withColumn("branch", F.lit(i)))
+        rows += _most(index, c)
     union = reduce(DataFrame.unionByName, parts)
     if len(parts) > 1:
-        fields = F.struct("branch", "doc_rank", "relevance", "proximity")
-        union = union.groupBy("doc_id").agg(F.max(fields).alias("f")).select("doc_id", "f.doc_rank", "f.relevance", "f.proximity")
-    return S.fuse(union.drop("branch"), ("doc_rank", "relevance", "proximity"))
+        union = union.groupBy("doc_id").agg(F.max(F.struct("branch", "shelf", *fields)).alias("f")).select("doc_id", "f.shelf", *(f"f.{f}" for f in fields))
+    return S.fuse(union.select("doc_id", "shelf", *fields), fields, rows=rows)
 
 
-def search(corpus: DataFrame | dict[str | None, DataFrame], text: str | Query, most: int = 10, offset: int = 0, guesses: bool = True) -> DataFrame:
-    """Ranked results (rank, doc_id, score, ...) with summaries joined to the top rows alone."""
-    corpora = corpus if isinstance(corpus, dict) else {None: corpus}
+def search(corpus: Index | dict[str | None, Index], text: str | Query, most: int = 10, offset: int = 0, guesses: bool = True) -> DataFrame:
+    """Ranked results (rank, doc_id, score, ...) with summaries joined to the top rows alone.
+
+    Summaries come from the index None; documents of other indexes keep their own shelves, so they are
+    found there by doc_id.
+    """
+    indexes = corpus if isinstance(corpus, dict) else {None: corpus}
     q = text if isinstance(text, Query) else parse(text, guesses)
     parts = []
     for i, b in enumerate(q.blocks):
-        top = block_scores(corpora, b).orderBy(F.desc("score"), "doc_id").limit(b.most if b.most is not None else offset + most)
+        top = block_scores(indexes, b).orderBy(F.desc("score"), "doc_id").limit(b.most if b.most is not None else offset + most)
         parts.append(top.withColumn("block", F.lit(i)))
     rows = reduce(DataFrame.unionByName, parts)
     by = Window.orderBy("block", F.desc("score"), "doc_id")  # at most most + offset rows a block
     rows = rows.withColumn("rank", F.row_number().over(by)).where((F.col("rank") > offset) & (F.col("rank") <= offset + most))
-    shown = F.broadcast(rows.select("rank", "doc_id", "score", "doc_rank", "relevance", "proximity"))
+    shown = rows.select("rank", "doc_id", "shelf", "score", "doc_rank", "relevance", "proximity")
     words = [w for b in q.blocks for c in b.disjuncts for w in c.words]
-    summary = corpora[None].select("doc_id", "lang", "source", T.snippet(F.col("text"), words).alias("snippet"))
-    return summary.join(shown, "doc_id")
+    if all(c.index is None or c.index not in indexes for b in q.blocks for c in b.disjuncts):
+        found = indexes[None].summaries(shown)
+    else:
+        found = indexes[None].documents().join(F.broadcast(shown.drop("shelf")), "doc_id")
+    extra = [c for c in ("lang", "source") if c in found.columns]
+    return found.select("doc_id", *extra, T.snippet(F.col("text"), words).alias("snippet"), "rank", "score", "doc_rank", "relevance", "proximity")
 
 
-def explain(corpus: DataFrame, text: str) -> str:
+def explain(index: Index, text: str) -> str:
     """The formatted plan of a query."""
-    return search(corpus, text)._jdf.queryExecution().explainString(corpus.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return search(index, text)._jdf.queryExecution().explainString(index.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

@@ -12,6 +12,7 @@ from tessera.functions import urls as U
 from tessera.functions import vectors as V
 from tessera.functions.stem import porter
 from tessera.operators import learn as L
+from tessera.operators import store
 from tessera.operators import scoring as S
 from tessera.operators.summarize import METHODS, summary
 from tessera.plans import search as P
@@ -53,19 +54,28 @@ def test_cover_score(spark, lists, score):
 def test_fusion_and_grouping(spark):
     df = spark.createDataFrame([(1, 9.0, 9.0), (2, 8.0, 8.0), (3, 8.0, 9.0)], "doc_id long, a double, b double")
     got = {r.doc_id: r.score for r in S.fuse(df, ("a", "b")).collect()}
+    assert got == {r.doc_id: r.score for r in S.fuse(df, ("a", "b"), rows=3).collect()}
     assert got[1] == pytest.approx(600 / 59) and got[2] == pytest.approx(600 / 60) and got[3] == pytest.approx(300 / 60 + 300 / 59)
     items = spark.createDataFrame([(i, "u", "h", "c", 4.0, 1.0, 1.0) for i in range(3)], "item_id long, url_hash string, host_hash string, hash string, rank double, relevance double, proximity double")
     assert S.group_by_url(items).first()["rank"] == 7.0
     assert one(spark, S.bm(F.lit(3.0), F.lit(5.0), F.lit(5.0), F.lit(1), F.lit(10), 1.0)) == pytest.approx(1.661244, abs=1e-6)
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     docs = spark.createDataFrame([(1, "the cat sat", "en", "a"), (2, "cat the sat", "en", "b"), (3, "the dog", "en", "a"), (4, None, "fr", "a"), (5, "", "en", "a")], "doc_id long, text string, lang string, source string")
     ids = lambda q: sorted(r.doc_id for r in P.conjunct_docs(docs, conjunct(q)).collect())
     assert ids("the cat") == [1, 2] and ids('"the cat"') == [1] and ids("the -dog") == [1, 2] and ids('"the * sat"') == [1]
     assert ids("-the lang:en") == [5] and ids("cat source:b") == [2] and ids("nothing") == []
-    assert [r["rank"] for r in P.search(docs, "the", most=2).orderBy("rank").collect()] == [1, 2]
-    assert "Scan" in P.explain(docs, "the")
+    index = store.build(docs, str(tmp_path / "index"))
+    stored = lambda q: sorted(r.doc_id for r in P.matches(index, conjunct(q)).collect())
+    for q in ("the cat", '"the cat"', "the -dog", '"the * sat"', "-the lang:en", "cat source:b", "nothing", "-the", "-dog -cat", "lang:fr"):
+        assert stored(q) == ids(q), q
+    assert ids("-the") == [4, 5]  # a document without text has no word
+    assert [r["rank"] for r in P.search(index, "the", most=2).orderBy("rank").collect()] == [1, 2]
+    plan = P.explain(index, "the")
+    assert "PartitionFilters" in plan and "In(term" in plan.replace("EqualTo(term", "In(term")
+    more = store.append(index, spark.createDataFrame([(9, "the cat", "en", "z")], docs.schema), str(tmp_path / "more"))
+    assert sorted(r.doc_id for r in P.matches(more, conjunct("the cat")).collect()) == [1, 2, 9] and more.docs == 6 and more.num_docs(["the", "none"]) == {"the": 4, "none": 0}
 
 
 LINKS = [("../bob", "http://www.example.com/a", None), ("bob", "http://www.example.com/a/b", "http://www.example.com/a/bob"), ("../bob", "http://www.example.com/a/", "http://www.example.com/bob"), ("/x#y", "http://e.com/q", "http://e.com/x"), ("//f.com/z", "https://e.com/", "https://f.com/z"), ("http://g.com/", "http://e.com/", "http://g.com/")]

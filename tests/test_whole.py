@@ -1,4 +1,4 @@
-"""Queries that cover whole tables, where an older query of nearly the same name keeps a part."""
+"""Queries that cover whole tables."""
 
 from tessera import catalog
 from tessera.functions.sheet import cell, place
@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.01"
 def test_recommendations_reach_every_user(spark):
     users = {r.user_id for r in catalog.table(spark, SF, "events").select("user_id").distinct().collect()}
     assert max(users) >= 20
-    for name in ("rec_user_tf_all", "rec_cosine_all", "rec_topk_all"):
+    for name in ("rec_user_tf", "rec_cosine", "rec_topk"):
         got = catalog.QUERIES[name](spark, SF).select("user_id").distinct().collect()
         assert {r.user_id for r in got} == users
 
@@ -19,20 +19,20 @@ def test_titles_with_entities(spark, tmp_path):
     pages = ["<html lang=\"en\"><title>A &amp; B</title>", "<title> x &lt;y&gt;\n&#233;</title>", "<title>R&D</title>", "<title>plain</title>", "no title"]
     rows = [(i, "u", p) for i, p in enumerate(pages)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    got = [tuple(r) for r in catalog.QUERIES["html_summary_all"](spark, str(tmp_path)).orderBy("page_id").collect()]
+    got = [tuple(r) for r in catalog.QUERIES["html_summary"](spark, str(tmp_path)).orderBy("page_id").collect()]
     assert got == [(0, "A & B", "en"), (1, "x <y> é", ""), (2, "R&D", ""), (3, "plain", ""), (4, "", "")]
-    assert catalog.QUERIES["html_summary_all"](spark, SF).count() == catalog.table(spark, SF, "pages").count()
+    assert catalog.QUERIES["html_summary"](spark, SF).count() == catalog.table(spark, SF, "pages").count()
 
 
 def test_sheet_spans_the_grid(spark):
     assert [cell(*place(x)) for x in ("A1", "Z9", "AA10", "ZZ1", "AAA3")] == ["A1", "Z9", "AA10", "ZZ1", "AAA3"]
     values = [r.l_quantity for r in catalog.table(spark, SF, "lineitem").select("l_quantity").collect()]
-    got = catalog.QUERIES["sheet_sum_avg_all"](spark, SF).first()
+    got = catalog.QUERIES["sheet_sum_avg"](spark, SF).first()
     assert round(got["sum"], 4) == round(sum(values), 4) and (got["min"], got["max"]) == (min(values), max(values))
 
 
 def test_diff_returns_lines_of_odd_documents(spark, tmp_path):
     spark.createDataFrame([(1, "a\nb"), (2, "b\nc"), (3, "d")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "c\nz")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {r.line: r.n for r in catalog.QUERIES["diff_lines_all"](spark, str(tmp_path)).collect()}
+    got = {r.line: r.n for r in catalog.QUERIES["diff_lines"](spark, str(tmp_path)).collect()}
     assert got == {"a": 1, "b": 2, "d": 1}
