@@ -3,7 +3,7 @@
 import pytest
 from oracle import compare
 
-from tessera import catalog
+from tessera import registry as catalog
 
 SF = "/root/testdata/sf0.001"
 
