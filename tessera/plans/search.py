@@ -23,6 +23,8 @@ from tessera.plans.parser import Block, Conjunct, Query, parse
 def field_condition(name: str, value: str, columns: list[str]) -> Column:
     """A ``field:value`` condition as a column predicate, so that it reaches the scan."""
     low = value.lower()
+    if "meta" in columns:  # stored meta words answer every condition
+        return F.coalesce(F.array_contains("meta", f"{name}:{value}"), F.lit(False))
     if name == "lang":
         return F.col("lang") == low if "-" in low else F.split("lang", "-")[0] == low
     if name == "source":
