@@ -281,7 +281,7 @@ f AS (SELECT doc_id, 300.0 / (58 + dense_rank() OVER (ORDER BY a DESC)) + 300.0
 def rank_fusion(spark, d):
     rows = P.conjunct_scores(index(spark, d), Conjunct(terms=("the",)))
     rows = rows.withColumns({c: F.round(c, 9) for c in ("doc_rank", "relevance")})
-    return S.fuse(rows, ("doc_rank", "relevance")).select("doc_id", F.round("score", 6).alias("score"))
+    return S.fuse(rows, ("doc_rank", "relevance"), rows=index(spark, d).num_docs(["the"])["the"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(_FUSED + " SELECT doc_id, round(s, 6) AS score, lang, source FROM f JOIN documents USING (doc_id) ORDER BY round(s, 6) DESC, doc_id LIMIT 10")
