@@ -19,8 +19,11 @@ another document, is removed. Sorting every suffix of the corpus is not needed f
 Texts are shuffled once, by document; the documents with repeated anchors are written as a
 bucketed table, so that later joins leave them in place.
 
+Hashes are of eight bytes at a time (``textnum.span_hash``); equal pieces are told by two of
+independent seeds, 128 bits.
+
 Defined cases: null and empty texts have 0 bytes and the hash of no bytes; texts below
-``length`` lose nothing; repeated rows (also of one doc_id) are texts that repeat each other;
+``length`` lose nothing; rows that share a doc_id or have none are texts of their own, which may repeat each other;
 an empty table gives no rows; extra columns are ignored.
 """
 
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import keep
+from tessera.llm.shared import discard, folder, keep, lean
 from tessera.llm.suffix_array import MOST, repeated_starts
 from tessera.llm.textnum import U64, gram_hash, mix, slices, span_hash, text_buffer
 
@@ -271,18 +274,19 @@ def remove_repeats(docs: DataFrame, length: int = 200, most: int = 4096, with_te
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    folder(spark)  # sets the session's batch size
     clash = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").take(1)
     if clash:  # then rows get numbers of their own, and are written so that these stay
         docs = keep(docs.withColumn("rid", F.monotonically_increasing_id()), "rows")
     else:
         docs = docs.withColumn("rid", F.col("doc_id"))
-    found = keep(docs.select("rid", "text").mapInArrow(_find(length), "rid long, n_bytes long, sha string, pos array<int>, hash array<long>"), "anchors")
+    found = keep(docs.select("rid", "text").mapInArrow(lean(_find(length)), "rid long, n_bytes long, sha string, pos array<int>, hash array<long>"), "anchors")
     each = found.select("rid", F.explode(F.arrays_zip("pos", "hash")).alias("a")).select("rid", "a.pos", "a.hash")
     again = keep(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "again")
     at = each.join(again, "hash").groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
     table = f"tessera_repeats_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = docs.select("rid", "text").join(at, "rid").mapInArrow(_hash_pieces(length), "rid long, text string, pos array<int>, w array<int>, ca array<long>, cb array<long>, key array<long>")
+    near = docs.select("rid", "text").join(at, "rid").mapInArrow(lean(_hash_pieces(length)), "rid long, text string, pos array<int>, w array<int>, ca array<long>, cb array<long>, key array<long>")
     near.write.bucketBy(parts, "rid").option("compression", "zstd").format("parquet").saveAsTable(table)
     near = spark.table(table)
 
@@ -291,26 +295,30 @@ def remove_repeats(docs: DataFrame, length: int = 200, most: int = 4096, with_te
     # A core needs a sort if it has several pieces, and one of them only once.
     cores = keep(kinds.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("key", "c"), "cores")
     picked = kinds.join(cores, "key").select("rid", F.struct("pos", "w", "key", "n").alias("r")).groupBy("rid").agg(F.sort_array(F.collect_list("r")).alias("reps"))
-    cut = near.select("rid", "text").join(picked, "rid").mapInArrow(_cut(length), "key long, rid long, pos int, n long, w int, piece binary")
+    cut = near.select("rid", "text").join(picked, "rid").mapInArrow(lean(_cut(length)), "key long, rid long, pos int, n long, w int, piece binary")
     hot = keep(cores.where(F.col("c") > most).select("key"), "hot")
     if hot.take(1):
         cut = keep(cut, "cut")
         few, many = cut.join(hot, "key", "left_anti"), cut.join(hot, "key", "left_semi")
     else:
         few, many = cut, None
-    marked = few.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sort(length), "rid long, pos int, w int, marks binary")
+    marked = few.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lean(_sort(length)), "rid long, pos int, w int, marks binary")
     if many is not None:
         w = keep(many.select("key", "rid", "pos", "n", "w", "piece").mapInArrow(_windows(length), "rid long, pos int, w int, start int, wa long, wb long, n long"), "windows")
         twice = keep(w.groupBy("wa", "wb").agg(F.count("*").alias("m"), F.max("n").alias("n")).where("m > 1 or n > 1").select("wa", "wb"), "twice")
         starts = w.where("n = 1").join(twice, ["wa", "wb"]).groupBy("rid", "pos", "w").agg(F.collect_set("start").alias("starts"))
         marked = marked.unionByName(starts.mapInArrow(_as_bits, "rid long, pos int, w int, marks binary"))
     whole = each.join(kinds.where("n > 1").select("ca", "cb"), ["ca", "cb"]).select("rid", "pos", "w", F.lit(None).cast("binary").alias("marks"))
-    marks = keep(whole.unionByName(marked), "marks").groupBy("rid").agg(F.collect_list(F.struct("pos", "w", "marks")).alias("marks"))
+    marked = keep(whole.unionByName(marked), "marks")
+    marks = marked.groupBy("rid").agg(F.collect_list(F.struct("pos", "w", "marks")).alias("marks"))
     text = ", kept_text string"
-    done = near.select("rid", "text").join(marks, "rid").mapInArrow(_remove(length), "rid long, n_removed long, n_spans long, kept_sha256 string" + text)
+    done = near.select("rid", "text").join(marks, "rid").mapInArrow(lean(_remove(length)), "rid long, n_removed long, n_spans long, kept_sha256 string" + text)
     if not with_text:
         done = done.drop("kept_text")
-    done = keep(done, "removed").withColumnRenamed("kept_sha256", "kept")
+    done = keep(done, "removed")
+    spark.sql(f"DROP TABLE {table}")  # nothing reads these any more
+    discard(again, kinds, cores, hot, marked)
+    done = done.withColumnRenamed("kept_sha256", "kept")
     out = found.select("rid", "n_bytes", "sha").join(done, "rid", "left")
     if clash:
         out = out.join(docs.select("rid", "doc_id"), "rid")
