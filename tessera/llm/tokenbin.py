@@ -103,7 +103,7 @@ def byte_level_encoder(path: str) -> ChunkEncoder:
 
     if any(a.lstrip or a.rstrip or a.single_word or a.normalized for a in added):
         return ChunkEncoder(lambda data: np.zeros(len(data), bool), lambda texts: [t.encode(x, add_special_tokens=False).ids for x in texts], 10_000)
-    return ChunkEncoder(cut_byte_level, lambda texts: [one(x) for x in texts], 250_000, literals)
+    return ChunkEncoder(cut_byte_level, lambda texts: [one(x) for x in texts], 500_000, literals)
 
 
 def _encoder(path: str) -> ChunkEncoder:
