@@ -802,10 +802,14 @@ def stream_hourly(spark, d):
     return out.select(F.unix_timestamp("window.start").alias("bucket"), "event_type", "num_views")
 
 
-@query("SELECT user_id, count(*) AS visits FROM events GROUP BY 1")
+@query("WITH RECURSIVE " + _E + """, n AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM e),
+r AS (SELECT user_id, i, 3600::BIGINT AS delay, t + 3600 AS until FROM n WHERE i = 1 UNION ALL
+SELECT n.user_id, n.i, CASE WHEN n.t <= r.until THEN least(r.delay * 2, 1099511627776) ELSE 3600 END, n.t + CASE WHEN n.t <= r.until THEN least(r.delay * 2, 1099511627776) ELSE 3600 END FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
+SELECT user_id, max(i) AS visits, arg_max(delay, i) AS delay, arg_max(until, i) AS until FROM r GROUP BY 1""")
 def stream_throttle(spark, d):
     rows = E.read(spark, f"{d}/events.parquet")
-    return E.drain(E.throttle(rows, "user_id", forget=1 << 40), "update").groupBy("user_id").agg(F.max("visits").alias("visits"))
+    out = E.drain(E.throttle(rows, "user_id", 3600, forget=1 << 40), "update")
+    return out.groupBy("user_id").agg(F.max(F.struct("visits", "delay", "until")).alias("s")).select("user_id", "s.*")
 
 
 @query("SELECT c_custkey, 'x' AS tag FROM customer WHERE c_custkey > 10 UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey <= 10")

@@ -224,3 +224,47 @@ def vocabulary(spark, d):
     """Documents of each label that have a term."""
     features, labels = _features(spark, d)
     return features.join(labels, "doc_id").groupBy("term").agg(F.count_if(F.col("label") == 1).alias("hot"), F.count_if(F.col("label") == 0).alias("cold"))
+
+
+# Signatures, rules and replies
+
+_SCRAPERS = [("shop", r"<nav><ul>", r"<h1>([^<]*)</h1>"), ("plain", r"<article>", r"<title>([^<]*)</title>")]
+
+
+@query("""SELECT page_id, CASE WHEN contains(html, '<nav><ul>') THEN 'shop' WHEN contains(html, '<article>') THEN 'plain' END AS label,
+CASE WHEN contains(html, '<nav><ul>') THEN regexp_extract(html, '<h1>([^<]*)</h1>', 1) WHEN contains(html, '<article>') THEN regexp_extract(html, '<title>([^<]*)</title>', 1) END AS text FROM pages""")
+def page_scrapers(spark, d):
+    """P26/E20."""
+    from tessera.operators.rules import scraped
+
+    return pages(spark, d).select("page_id", scraped(F.col("html"), _SCRAPERS).alias("s")).select("page_id", "s.label", "s.text")
+
+
+@query("SELECT n_nationkey, true AS has, false AS lacks FROM nation")
+def page_signatures(spark, d):
+    """P26 by path."""
+    from tessera.operators.rules import has_signature
+
+    page = F.concat(F.lit("<html><head><meta name='x'/></head><body>"), F.lower("n_name"), F.lit("</body></html>"))
+    return table(spark, d, "nation").select("n_nationkey", has_signature(page, "/html/head/meta").alias("has"), has_signature(page, "/html/video").alias("lacks"))
+
+
+@query("""WITH m AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 2 = 0 THEN 'a' ELSE 'b' END AS state, coalesce(text, '') AS text FROM conversations)
+SELECT id, CASE WHEN regexp_matches(text, 'the') AND state = 'a' THEN 'one' WHEN regexp_matches(text, 'th|de') THEN 'two' ELSE 'three' END AS response, CASE WHEN regexp_matches(text, 'the') AND state = 'a' THEN 'b' WHEN regexp_matches(text, 'th|de') THEN 'a' ELSE '' END AS state FROM m""")
+def bot_replies(spark, d):
+    """P29."""
+    from tessera.operators.rules import story
+
+    rows = [(1, "the", "a", "b", "one"), (2, "th|de", "", "a", "two"), (3, "", "", "", "three")]
+    patterns = spark.createDataFrame(rows, "place int, request string, trigger_state string, result_state string, response string")
+    messages = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") % 2 == 0, "a").otherwise("b").alias("state"), "text")
+    return story(messages, patterns)
+
+
+@query("SELECT doc_id, source AS key, lang || ' ' || doc_id AS words FROM documents")
+def keyword_links(spark, d):
+    """E5."""
+    from tessera.operators.rules import apply_rules
+
+    rows = docs(spark, d).select("doc_id", F.concat("source", F.lit(", "), "lang", F.lit(" "), F.col("doc_id").cast("string")).alias("told"))
+    return apply_rules(rows, "addKeywordLink(told)").select("doc_id", F.explode("links").alias("key", "words"))

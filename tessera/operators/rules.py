@@ -51,6 +51,12 @@ def apply_rule(df: DataFrame, rule: str) -> DataFrame:
         if name == "addMetaWord":
             word = F.concat(F.lit(f"u:{f}:"), _text(df, f))
             return df.withColumn("meta", F.array_append(_list(df, "meta"), word))
+        if name == "addKeywordLink":  # E5: "key, word word" puts the words under the key of the links
+            parts = F.split(_text(df, f), ",", 2)
+            new = F.map_from_arrays(F.array(F.trim(parts[0])), F.array(F.trim(F.coalesce(F.get(parts, 1), F.lit("")))))
+            links = F.col("links") if "links" in df.columns else F.create_map().cast("map<string,string>")
+            kept = F.map_filter(F.coalesce(links, F.create_map().cast("map<string,string>")), lambda k, _: k != F.trim(parts[0]))
+            return df.withColumn("links", F.map_concat(kept, new))
         if name == "unset":
             return df.withColumn(f, F.lit(None).cast(dict(df.dtypes).get(f, "string")))
         if name in ("toArray", "setStack"):
@@ -116,3 +122,30 @@ def phones(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"(?<![\w.])\+?\(?\d[\d() .-]{5,18}\d(?![\w])"), F.lit(0))
     digits = F.transform(found, lambda p: F.regexp_replace(p, r"\D", ""))
     return F.array_distinct(F.filter(digits, lambda p: (F.length(p) >= 7) & (F.length(p) <= 15)))
+
+
+def has_signature(page: Column, signature: str) -> Column:
+    """Whether a page has a signature: a path of elements (``/html//meta``) in a well-formed page, else a regular expression."""
+    if signature.startswith("/"):
+        return F.coalesce(F.xpath_boolean(page, F.lit(signature)), F.lit(False))
+    return F.coalesce(page.rlike(signature), F.lit(False))
+
+
+def scraped(page: Column, scrapers: list[tuple[str, str, str]]) -> Column:
+    """Struct (label, text) of the first of the scrapers (label, signature, pattern of the text) whose signature a page has; else null."""
+    out = F.lit(None).cast("struct<label:string,text:string>")
+    for label, signature, pattern in reversed(scrapers):
+        found = F.struct(F.lit(label).alias("label"), F.regexp_extract(page, pattern, 1).alias("text"))
+        out = F.when(has_signature(page, signature), found).otherwise(out)
+    return out
+
+
+def story(messages: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The reply to each of messages(id, state, text): of patterns(place, request, trigger_state, result_state, response) the
+    first whose regular expression is found in the text and whose trigger state is empty or the message's own.
+
+    Patterns are a bot's few rules, gathered into one row.
+    """
+    rules = patterns.agg(F.sort_array(F.collect_list(F.struct("place", "request", "trigger_state", "result_state", "response"))).alias("rules"))
+    met = F.filter("rules", lambda r: F.rlike(F.coalesce("text", F.lit("")), r["request"]) & ((r["trigger_state"] == "") | (r["trigger_state"] == F.col("state"))))
+    return messages.join(F.broadcast(rules)).withColumn("r", F.get(met, F.lit(0))).where("r is not null").select("id", F.col("r.response").alias("response"), F.col("r.result_state").alias("state"))

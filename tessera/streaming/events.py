@@ -43,26 +43,35 @@ def sliding(rows: DataFrame, keys: list[str], length: str = "24 hours", step: st
     return rows.groupBy(F.window("ts", length, step), *keys).agg(F.count("*").alias("num_views"))
 
 
-def throttle(rows: DataFrame, key: str, first_delay: int = 1, forget: int = 604_800) -> DataFrame:
-    """Per key a delay that doubles with every visit within it; state is forgotten after ``forget`` seconds.
+def throttle(rows: DataFrame, key: str, first_delay: int = 1, forget: int = 604_800, late: str = LATE) -> DataFrame:
+    """Per key a delay that doubles, up to ``forget``, with every visit within it.
 
-    Output per key and micro-batch: visits so far, the delay in seconds, and when it ends (epoch seconds).
+    Output per key and micro-batch: visits so far, the delay in seconds, and when it ends (epoch seconds). A key's state goes
+    once the watermark has passed the end of its delay by ``forget`` seconds.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         visits, delay, end = state.get if state.exists else (0, 0, 0)
         times = sorted(t for b in batches for t in b["t"])
         for t in times:
             if visits and t > end + forget:
                 visits, delay = 0, 0
-            delay = delay * 2 if visits and t <= end else first_delay
+            delay = min(delay * 2, forget) if visits and t <= end else first_delay
             visits, end = visits + 1, t + delay
         state.update((visits, delay, end))
+        over = (end + forget) * 1000
+        if over > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(over)
+        else:
+            state.remove()
         yield pd.DataFrame({key: [k[0]], "visits": [visits], "delay": [delay], "until": [end]})
 
-    timed = rows.select(key, F.unix_timestamp("ts").alias("t"))
+    timed = rows.withWatermark("ts", late).select(key, "ts", F.unix_timestamp("ts").alias("t"))
     kind = dict(rows.dtypes)[key]
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, visits long, delay long, until long", "visits long, delay long, until long", "update", GroupStateTimeout.NoTimeout)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, visits long, delay long, until long", "visits long, delay long, until long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
