@@ -143,7 +143,7 @@ class Codec:
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=raw + (b"\x1a\x02\x18\x00" if self.cuts else b""))
         used = [p for p, _, k in self.model.pieces if k in (NORMAL, USER)]
         cut = cut_by_pieces(used, META) if self.cuts else lambda data: np.zeros(len(data), bool)
-        self.encoder = ChunkEncoder(cut, self._encode, 100_000, mark=self._differs)
+        self.encoder = ChunkEncoder(cut, self._encode, 250_000, mark=self._differs)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
