@@ -769,7 +769,8 @@ def html_summary(spark, d):
     return H.html_pages(table(spark, d, "pages")).select("page_id", "title", F.coalesce("lang", F.lit("")).alias("lang"))
 
 
-@query()
+@query(r"""SELECT page_id, regexp_extract(x, 'href=\"([^\"]+)\"', 1) AS href, trim(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS anchor
+FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '(?s)<a [^>]*href=\"[^\"]+\"[^>]*>.*?</a>')) AS x FROM pages)""")
 def html_links(spark, d):
     return H.html_pages(table(spark, d, "pages")).select("page_id", F.inline("links"))
 

@@ -62,23 +62,27 @@ def graph(parts: list[str]) -> np.ndarray:
     x = _matrix(parts)
     length = np.linalg.norm(x, axis=1, keepdims=True)
     x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-    squares = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
-    own = ((x[:, None, :] > 0) != (x[None, :, :] > 0)).sum(2)
-    a = np.divide(squares, own, out=np.zeros_like(squares), where=own > 0)
+    seen = (x > 0).astype(np.float64)
+    square, size = (x * x).sum(1), seen.sum(1)
     r = np.ones(len(parts)) / max(len(parts), 1)
     for _ in range(10):
-        r = a @ r
-        r = r / max(r.sum(), 1e-300)
+        new = np.empty(len(parts))
+        for i in range(0, len(parts), 256):  # rows of the distortions are made anew, never all of them
+            some = slice(i, i + 256)
+            far = np.maximum(square[some, None] + square[None, :] - 2 * x[some] @ x.T, 0)
+            own = size[some, None] + size[None, :] - 2 * seen[some] @ seen.T
+            new[some] = np.divide(far, own, out=np.zeros_like(far), where=own > 0) @ r
+        r = new / max(new.sum(), 1e-300)
     return r / (1 + np.arange(len(parts)) ** 0.4)
 
 
 METHODS = {"centroid": centroid, "weighted": weighted, "graph": graph}
 
 
-def summary(text: str, method: str = "centroid", most_chars: int = MOST_CHARS, most_sentences: int = 200) -> str:
-    """The best sentences within a length, in their order. Of longer texts, blocks of ``most_sentences`` are scored apart."""
+def summary(text: str, method: str = "centroid", most_chars: int = MOST_CHARS) -> str:
+    """The best sentences within a length, in their order; scores are compared at nine places."""
     parts = sentences(text)
-    score = np.concatenate([METHODS[method](parts[i : i + most_sentences]) for i in range(0, len(parts), most_sentences)] or [np.zeros(0)])
+    score = METHODS[method](parts).round(9) if parts else np.zeros(0)
     taken, used = [], 0
     for i in np.argsort(-score, kind="stable"):
         if used + len(parts[i]) <= most_chars or not taken:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import shutil
 import struct
 import subprocess
@@ -173,3 +174,51 @@ def test_weighted_sampling(spark):
     assert sum("t0" in f for f in first) >= 10 and all(len(f) == 5 for f in first) and first[0] == {r.term for r in S.weighted_sample(rows, "w", "term", 5, 0).collect()}
     runs = spark.createDataFrame([Row(k="a", p=i, kind=k) for i, k in enumerate("xxyx")])
     assert sorted((r["first"], r["size"], r["kind"]) for r in S.media_groups(runs, "kind", "p", ["k"]).collect()) == [(0, 2, "x"), (2, 1, "y"), (3, 1, "x")]
+
+
+def test_summaries_against_plain_loops():
+    """Scores of the three methods from their formulas, sentence by sentence."""
+    import math
+
+    from tessera.operators import summarize as Y
+
+    rng = random.Random(6)
+    parts = [" ".join(rng.choice("sun moon star sky sea land tree rain wind snow".split()) for _ in range(rng.randint(2, 8))) + "." for _ in range(30)]
+    words = [[w for w in re.findall(r"[a-z]+", p)] for p in parts]
+    n = {t: sum(t in w for w in words) for w in words for t in w}
+    rows = [{t: (1 + math.log(w.count(t))) * math.log(len(parts) / n[t]) for t in set(w)} for w in words]
+    length = lambda r: math.sqrt(sum(v * v for v in r.values()))
+    dot = lambda a, b: sum(v * b.get(t, 0.0) for t, v in a.items())
+    mean = {t: sum(r.get(t, 0.0) for r in rows) / len(rows) for t in n}
+    assert Y.centroid(parts).tolist() == pytest.approx([dot(r, mean) / (length(r) * length(mean)) if length(r) else 0.0 for r in rows])
+    unit = [{t: v / length(r) for t, v in r.items()} if length(r) else r for r in rows]
+    c = {t: sum(r.get(t, 0.0) / (1 + i**0.8) for i, r in enumerate(unit)) for t in n}
+    c = {t: v / length(c) for t, v in c.items()}
+    want, left = [0.0] * len(parts), set(range(len(parts)))
+    while left:
+        i = max(left, key=lambda k: (dot(unit[k], c), -k))
+        if dot(unit[i], c) <= 0:
+            break
+        want[i] = dot(unit[i], c)
+        left.discard(i)
+        c = {t: v - v * unit[i].get(t, 0.0) for t, v in c.items()}
+    assert Y.weighted(parts).tolist() == pytest.approx(want)
+
+    def far(a, b):
+        pa, pb = ({t for t, v in x.items() if v > 0} for x in (a, b))
+        return sum((a.get(t, 0.0) - b.get(t, 0.0)) ** 2 for t in {*a, *b}) / len(pa ^ pb) if pa ^ pb else 0.0
+
+    r = [1 / len(parts)] * len(parts)
+    for _ in range(10):
+        r = [sum(far(a, b) * s for b, s in zip(unit, r)) for a in unit]
+        r = [v / sum(r) for v in r]
+    assert Y.graph(parts).tolist() == pytest.approx([v / (1 + i**0.4) for i, v in enumerate(r)])
+    text = " ".join(parts)
+    for m in Y.METHODS:
+        order = sorted(range(len(parts)), key=lambda i: (-round(float(Y.METHODS[m](parts)[i]), 9), i))
+        taken, used = [], 0
+        for i in order:
+            if used + len(parts[i]) <= 120 or not taken:
+                taken.append(i)
+                used += len(parts[i])
+        assert Y.summary(text, m, 120) == " ".join(parts[i] for i in sorted(taken))
