@@ -14,7 +14,7 @@ language and length is rejected. Lengths without ``least_texts`` such texts take
 length that has them, and languages without any the largest bound of the others. The
 final models learn from all labelled texts.
 
-Plan: n-grams of all training texts are counted in numpy per task and summed by (language,
+Plan: n-grams of all training texts are counted in numpy per task, packed, and summed by (language,
 n-gram); the distinct ones come to the driver, whose number is bound by the variety of a
 language's letter sequences and not by its documents. Calibration runs over all held-out texts and returns
 aggregates. The model goes to the tasks, and prediction is one pass without a shuffle.
@@ -28,6 +28,7 @@ empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -101,11 +102,28 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
     return code, row
 
 
+def _packed(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending codes as differences, and their counts, byte by byte of their numbers, deflated."""
+    steps = np.diff(codes, prepend=codes[:1]).astype("<u8")
+    steps[0] = codes[0]
+    both = np.concatenate((steps.view(np.uint8).reshape(-1, 8).T.reshape(-1), counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.reshape(-1)))
+    return zlib.compress(both.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(2, 8, -1)
+    steps, counts = (np.ascontiguousarray(x.T).view("<u8")[:, 0] for x in both)
+    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
+
+
+_PARTS = 16
+
+
 def _count(order: int):
-    """(lang, held, code, n) of texts (text, lang, held)."""
+    """(lang, held, part, grams): the n-grams of texts (text, lang, held), of a task, dealt by hash and packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
+        seen: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             names = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
             data, off = text_buffer(batch.column(0))
@@ -115,18 +133,46 @@ def _count(order: int):
                 kind = np.array([kinds.index(x) for x in names[i:j]])
                 for k, name in enumerate(kinds):
                     u, n = np.unique(code[(kind == k)[row]], return_counts=True)
-                    if name in held:
-                        u, at = np.unique(np.concatenate((held[name][0], u)), return_inverse=True)
-                        n = np.bincount(at, np.concatenate((held[name][1], n))).astype(np.int64)
-                    held[name] = u, n
-        for (name, is_held), (u, n) in held.items():
-            for i in range(0, len(u), 1 << 16):
-                m = len(u[i : i + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.array([is_held] * m), pa.array(u[i : i + m].view(np.int64)), pa.array(n[i : i + m].astype(np.int64))], ["lang", "held", "code", "n"])
+                    seen[name] = _summed([seen[name], (u, n)]) if name in seen else (u, n)
+        for (name, held), (u, n) in sorted(seen.items()):
+            part = mix(u) % np.uint64(_PARTS)
+            for p in np.unique(part).tolist():
+                on = part == p
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([held]), pa.array([p], pa.int32()), pa.array([_packed(u[on], n[on])], pa.binary())], ["lang", "held", "part", "grams"])
 
     return run
 
 
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    u, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    return u, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, held, code, n) of packed n-grams that come sorted by (lang, held, part)."""
+    key, held, size = None, [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        u, n = _summed(held)
+        for i in range(0, len(u), 1 << 16):
+            m = len(u[i : i + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * m), pa.array([key[1]] * m), pa.array(u[i : i + m].view(np.int64)), pa.array(n[i : i + m])], ["lang", "held", "code", "n"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            if held and row[:3] != key:
+                yield from out()
+                held, size = [], 0
+            key = row[:3]
+            held.append(_unpacked(row[3]))
+            size += len(held[-1][0])
+            if size > 1 << 20:
+                held = [_summed(held)]
+                size = 0
+    if held:
+        yield from out()
+
+
 class KneserNey:
     """One language: interpolated Kneser-Ney over n-gram codes, in sorted hash arrays."""
 
@@ -275,8 +321,9 @@ def _models(counts: pd.DataFrame, langs: list[str], order: int, symbols: int) ->
 def train(labelled: DataFrame, order: int = 4, folds: int = 10, reject_width: float = 8.0, least_gap: float = 0.5, least_texts: int = 20) -> LanguageModel | None:
     """Models of all languages of ``labelled(doc_id, text, lang)``; None if it has no letters."""
     rows = labelled.where("lang is not null and text is not null").select("text", "lang", (F.pmod(F.xxhash64("text"), F.lit(folds)) == 0).alias("held"))
-    counted = rows.mapInArrow(lean(_count(order)), "lang string, held boolean, code long, n long")
-    counts = counted.groupBy("lang", "held", "code").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.mapInArrow(lean(_count(order)), "lang string, held boolean, part int, grams binary")
+    dealt = counted.repartition(_PARTS, "lang", "held", "part").sortWithinPartitions("lang", "held", "part")
+    counts = dealt.mapInArrow(lean(_merge), "lang string, held boolean, code long, n long").toPandas()
     if not len(counts):
         return None
     langs = sorted(counts["lang"].unique())
