@@ -26,6 +26,10 @@ from tessera.functions import text as T
 from tessera.operators import index as I
 
 
+#: Of the folders' layout.
+VERSION = 1
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only in a local session without one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -174,4 +174,14 @@ def test_engine(spark):
     docs = spark.createDataFrame([(1, "cat cat dog", "en", "a"), (2, "cat dog bird", "en", "a"), (3, "fish", "en", "b")], "doc_id long, text string, lang string, source string")
     e = Engine(docs)
     assert e.top_terms(1, 2) == ["cat", "dog"] and [r.doc_id for r in e.related(1).collect()] == [2]
+    from tessera.engine import ResultCache, activity
+
+    assert activity("related: 4") == ("related", ("4",)) and activity("trending:news:day") == ("trending", ("news", "day")) and activity("a cache:b") == ("search", ("a cache:b",))
+    assert [r.doc_id for r in e.ask("related:1").collect()] == [2] and e.ask("cache:3").first().text == "fish" and e.version() == 1 and e.version("x") is None
+    first = sorted(r.doc_id for r in e.ask("cat").collect())
+    assert first == [1, 2] == sorted(r.doc_id for r in e.ask("cat").collect()) and len(e.results.known) == 1
+    kept, made = ResultCache(spark, 1), []
+    for key in "aab":
+        assert kept.get(key, lambda: made.append(key) or spark.range(2)).count() == 2
+    assert made == ["a", "b"] and list(kept.known) == ["b"]
     assert e.cached(3, ["fish"]).first().text == "<b>fish</b>" and e.search("cat").count() == 2
