@@ -22,11 +22,11 @@ class ChunkEncoder:
     ``encode(list[str])`` returns one id list per string. At most ``most`` chunks are
     remembered, by their bytes; the memory is emptied when it is full, which changes no
     result. Where a text holds one of ``literals`` (the leftmost first, of those the longest),
-    it is one chunk. ``mark``, if given, tells of each distinct chunk and its ids whether to
-    flag it; ``flags`` then counts the flagged chunks of each text of the last batch.
+    it is one chunk. ``mark``, if given, gives a number for each distinct chunk and its ids;
+    ``flags`` then has the sum over the chunks of each text of the last batch.
     """
 
-    def __init__(self, cut: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[str]], list[list[int]]], most: int = 200_000, literals: Iterable[str] = (), mark: Callable[[list[str], list[list[int]]], list[bool]] | None = None) -> None:
+    def __init__(self, cut: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[str]], list[list[int]]], most: int = 200_000, literals: Iterable[str] = (), mark: Callable[[list[str], list[list[int]]], list[int]] | None = None) -> None:
         self.cut, self.encode, self.most, self.mark = cut, encode, most, mark
         found = sorted((x.encode() for x in literals), key=len, reverse=True)
         self.literal = re.compile(b"|".join(map(re.escape, found))) if found else None
@@ -34,7 +34,7 @@ class ChunkEncoder:
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flagged = np.zeros(1 << 12, bool)
+        self.flagged = np.zeros(1 << 12, np.int64)
         self.start, self.length, self.pool, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
 
     def _learn(self, chunks: list[bytes]) -> None:
@@ -49,7 +49,7 @@ class ChunkEncoder:
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.start[n : n + m] = self.used + np.cumsum(size) - size
         self.length[n : n + m] = size
-        self.flagged[n : n + m] = self.mark(texts, ids) if self.mark else False
+        self.flagged[n : n + m] = self.mark(texts, ids) if self.mark else 0
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.known.update(zip(chunks, range(n, n + m)))

@@ -3,8 +3,7 @@
 The model protobuf is parsed here; normaliser, metaspace marker, piece scores and byte
 fallback are rebuilt as a ``tokenizers`` pipeline: a unigram model from its scores, a BPE
 model from merges ordered by the score of the merged piece. All ids are those of the rebuilt
-pipeline, which encodes batches of distinct chunks on several threads, and the texts decoded
-are its decoder's. Every distinct chunk is encoded by the sentencepiece library, too, and ``n_differing``
+pipeline, which encodes and decodes batches of distinct chunks on several threads. Every distinct chunk is encoded by the sentencepiece library, too, and ``n_differing``
 counts the chunks of a document for which its ids are others (parity).
 
 Defined cases: null and empty texts have no ids and decode to an empty text; repeated rows
@@ -143,16 +142,22 @@ class Codec:
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=raw + (b"\x1a\x02\x18\x00" if self.cuts else b""))
         used = [p for p, _, k in self.model.pieces if k in (NORMAL, USER)]
         cut = cut_by_pieces(used, META) if self.cuts else lambda data: np.zeros(len(data), bool)
-        self.encoder = ChunkEncoder(cut, self._encode, 250_000, mark=self._differs)
+        self.encoder = ChunkEncoder(cut, self._encode, 250_000, mark=self._checked)
+        # Decoded behind a letter a chunk keeps a space it begins with.
+        self.letter = next((i, p) for i, (p, _, k) in enumerate(self.model.pieces) if k in (NORMAL, USER) and p.isascii() and p.isalpha())
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _differs(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
-        return [a != b for a, b in zip(ids, self.reference.encode(texts, num_threads=2))]
+    def _checked(self, texts: list[str], ids: list[list[int]]) -> list[int]:
+        """Per chunk 1 if the library's ids are others, and 2**32 if its own do not decode to it."""
+        theirs = self.reference.encode(texts, num_threads=2)
+        first, letter = self.letter
+        back = self.tokenizer.decode_batch([[first, *i] for i in ids], skip_special_tokens=False)
+        return [(a != b) + ((letter + t != x) << 32) for a, b, t, x in zip(ids, theirs, texts, back)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, id offsets per text); ``encoder.flags`` then has the number of differing chunks per text."""
+        """(ids, id offsets per text); ``encoder.flags`` then has the sums of ``_checked`` per text."""
         if self.cuts and self.model.dummy_prefix:
             some = np.flatnonzero(np.diff(offsets) > 0)
             data = np.insert(data, offsets[some], 0x20)
@@ -182,11 +187,9 @@ def _run(path: str, with_ids: bool):
             for i, j in slices(off, 1 << 20):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 ids, at = c.encode(d, o)
-                src = d.tobytes()
-                same = [x.encode() == src[a:b] for x, a, b in zip(c.decode(ids, at), o[:-1].tolist(), o[1:].tolist())]
                 view = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-                cols = [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(c.encoder.flags, pa.int64())]
+                cols = [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(c.encoder.flags >> 32 == 0), pa.array(c.encoder.flags & 0xFFFFFFFF)]
                 names = ["doc_id", "n_ids", "ids_crc32", "round_trip", "n_differing"]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
@@ -199,7 +202,8 @@ def _run(path: str, with_ids: bool):
 def encode_documents(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
     """Per document: doc_id, n_ids, ids_crc32 (of uint32 little-endian ids), round_trip, n_differing[, ids].
 
-    round_trip tells whether the decoded ids equal the text byte for byte; n_differing is the
+    round_trip tells whether the decoded ids equal the text byte for byte: every distinct chunk is decoded
+    by the pipeline's decoder, and a text is its chunks one after another; n_differing is the
     number of the document's chunks to which the sentencepiece library gives other ids.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
