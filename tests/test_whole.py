@@ -36,3 +36,12 @@ def test_diff_returns_lines_of_odd_documents(spark, tmp_path):
     spark.createDataFrame([(1, "c\nz")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.line: r.n for r in catalog.QUERIES["diff_lines"](spark, str(tmp_path)).collect()}
     assert got == {"a": 1, "b": 2, "d": 1}
+
+
+def test_titles_cut_in_an_entity(spark, tmp_path):
+    """As the SQL: a reference without its semicolon is no reference."""
+    cut = ["A &amp; B &amp", "x &lt", "x &#39", "&ampx; &amp;lt;", "a&quot b"]
+    rows = [(i, "u", f"<html><title>{t}</title><p>&amp x</p>") for i, t in enumerate(cut)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [r.title for r in catalog.QUERIES["html_summary"](spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == ["A & B &amp", "x &lt", "x &#39", "&ampx; &lt;", "a&quot b"]
