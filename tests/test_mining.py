@@ -7,6 +7,7 @@ import shutil
 import struct
 import subprocess
 import zlib
+from collections import Counter
 
 import pytest
 import regex
@@ -100,6 +101,19 @@ def test_phrases_and_learning(spark):
     assert X.lasso_penalty(4.0, 8, 2) == pytest.approx(2**0.5 / 2)
 
 
+def test_frequent_runs_by_any_number_of_counters(spark):
+    rng = random.Random(8)
+    rows = [([rng.choice("aabbcdefgh") for _ in range(rng.randrange(40))],) for _ in range(60)] + [(None,), ([],), (["a"],)]
+    want = Counter(tuple(t[i : i + k]) for (t,) in rows if t for k in (2, 3, 4) for i in range(len(t) - k + 1))
+    texts = spark.createDataFrame(rows, "ts array<string>").repartition(3)
+    for least, bits in ((5, 9), (5, 16), (300, 9)):
+        got = X.frequent_grams(texts, 4, least, bits)
+        assert {tuple(r.terms): r.n for r in got.collect()} == {g: n for g, n in want.items() if n >= least}
+    # Its source is read and shuffled once.
+    grams = spark.createDataFrame([(list(g), n) for g, n in want.items()], "terms array<string>, n long")
+    assert X.maximal_phrases(grams, 5)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_formats():
     for kind in ("docx", "pptx", "xlsx", "epub", "rtf", "zip", "gz", "bz2", "atom", "rss", "svg"):
         p = Z.parsed(Z.written("T & <x>", "one & two <é> {漢}\\ 🙂", kind), kind)
