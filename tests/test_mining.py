@@ -86,15 +86,18 @@ def test_trees_and_clusters(spark):
 
 
 def test_pairs_by_blocks(spark):
-    """All pairs of all blocks, none of them through a shuffle."""
+    """All pairs of all blocks, none of them through a shuffle; the forest is that of all pairs."""
     rng = random.Random(6)
     sets = {(p, i): set(rng.sample(range(12), rng.randrange(1, 5))) for p in (1, 2) for i in rng.sample(range(-50, 500), 70)} | {(3, 1): {5}, (3, 2): {6}}
     items = spark.createDataFrame([(p, i, f) for (p, i), s in sets.items() for f in s], "part long, id long, feature long")
     want = {(p, a, b): 1 - len(x & y) / max(len(x), len(y)) for (p, a), x in sets.items() for (q, b), y in sets.items() if p == q and a < b and x & y}
+    edges = spark.createDataFrame([(*k, w) for k, w in want.items()], "part long, a long, b long, weight double")
+    tree = sorted(map(tuple, X.spanning_tree(edges).collect()))
     for size in (8192, 16):
         got = X.shared_weights(items, size)
         assert sorted(map(tuple, got.collect())) == sorted((*k, w) for k, w in want.items())
         assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, X.shared_tree(items, size).collect())) == tree
     assert X.shared_weights(items.where("part = 9")).count() == 0
 
 
