@@ -1,7 +1,12 @@
 """Queries that cover whole tables."""
 
+import math
+import random
+from collections import Counter, defaultdict
+
 from tessera import catalog
 from tessera.functions.sheet import cell, place
+from tessera.operators import recommend as R
 from tessera.registry import QUERIES
 
 #: sf0.001 has fewer than 20 users.
@@ -55,3 +60,28 @@ def test_relations_of_repeated_and_negative_customers(spark, tmp_path):
     spark.createDataFrame([(i, f"s{i}") for i in range(11)], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
     got = sorted(tuple(r) for r in QUERIES["page_relations"](spark, str(tmp_path)).collect())
     assert got == [("c1", "s2"), ("c1", "s2"), ("c4", "s5"), ("other", "s2")]
+
+
+def _viewing(spark):
+    rng = random.Random(3)
+    tf = {(i, t): rng.randrange(1, 4) for i in range(40) for t in rng.sample("abcdefghijklmnopqrst", 6)} | {(i, "all"): 1 for i in range(39)}
+    views = [(rng.randrange(12) or None, rng.randrange(42)) for _ in range(200)] + [(0, 3)]
+    return tf, views, spark.createDataFrame([(*k, n) for k, n in tf.items()], "item_id long, term string, freq long"), spark.createDataFrame(views, "user_id long, item_id long")
+
+
+def _users(tf, views):
+    found = defaultdict(Counter)
+    for u, i in views:
+        found[u].update({t: n for (j, t), n in tf.items() if j == i})
+    return found
+
+
+def test_user_terms_by_groups(spark):
+    """Terms are summed where a group's users meet packed items, not by a shuffle of every view's terms."""
+    tf, views, items, seen = _viewing(spark)
+    want = {(u, t, n) for u, c in _users(tf, views).items() for t, n in c.items()}
+    for block in (250_000, 10):
+        rows = R.user_tf(items, seen, block)
+        assert {(r.user_id, r.term, r.freq) for r in rows.collect()} == want and rows.count() == len(want)
+    assert "Join" in rows._jdf.queryExecution().executedPlan().toString() and rows.where("abs(log_freq - 1 - log10(freq)) > 1e-12").count() == 0
+    assert R.user_tf(items, seen.where("user_id = 99")).count() == 0
