@@ -85,3 +85,22 @@ def test_user_terms_by_groups(spark):
         assert {(r.user_id, r.term, r.freq) for r in rows.collect()} == want and rows.count() == len(want)
     assert "Join" in rows._jdf.queryExecution().executedPlan().toString() and rows.where("abs(log_freq - 1 - log10(freq)) > 1e-12").count() == 0
     assert R.user_tf(items, seen.where("user_id = 99")).count() == 0
+
+
+def _cosines(tf, views):
+    df = Counter(t for _, t in tf)
+    idf = {t: math.log10(40 / (n + 1)) for t, n in df.items()}
+    for u, c in _users(tf, views).items():
+        own = {t: (1 + math.log10(n)) * idf[t] for t, n in c.items() if idf[t]}
+        for i in range(40):
+            x = [(own[t], (1 + math.log10(n)) * idf[t]) for (j, t), n in tf.items() if j == i and t in own]
+            if x:
+                yield u, i, sum(a * b for a, b in x) / math.sqrt(sum(a * a for a, _ in x)) / math.sqrt(sum(b * b for _, b in x))
+
+
+def test_cosines_by_groups_and_blocks(spark):
+    tf, views, items, seen = _viewing(spark)
+    want = {(u, i): s for u, i, s in _cosines(tf, views)}
+    for sizes in ((250_000, 65_536), (20, 7)):
+        got = {(r.user_id, r.item_id): r.similarity for r in R.similar(items, seen, None, *sizes).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - s) < 1e-9 for k, s in want.items())
