@@ -104,3 +104,15 @@ def test_cosines_by_groups_and_blocks(spark):
     for sizes in ((250_000, 65_536), (20, 7)):
         got = {(r.user_id, r.item_id): r.similarity for r in R.similar(items, seen, None, *sizes).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - s) < 1e-9 for k, s in want.items())
+
+
+def test_best_unseen_by_groups_and_blocks(spark):
+    tf, views, items, seen = _viewing(spark)
+    best = defaultdict(list)
+    for u, i, s in _cosines(tf, views):
+        if u is None or (u, i) not in views:
+            best[u].append((-round(s, 6), i))
+    want = {(u, i, k + 1) for u, x in best.items() for k, (_, i) in enumerate(sorted(x)[:3])}
+    for sizes in ((250_000, 65_536), (20, 7)):
+        got = R.similar(items, seen, 3, *sizes).selectExpr("user_id", "item_id", "round(similarity, 6) similarity")
+        assert {(r.user_id, r.item_id, r["rank"]) for r in R.top_items(got, seen).collect()} == want
