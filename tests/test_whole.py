@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from tessera import catalog
 from tessera.functions.sheet import cell, place
 from tessera.operators import recommend as R
@@ -116,3 +118,30 @@ def test_best_unseen_by_groups_and_blocks(spark):
     for sizes in ((250_000, 65_536), (20, 7)):
         got = R.similar(items, seen, 3, *sizes).selectExpr("user_id", "item_id", "round(similarity, 6) similarity")
         assert {(r.user_id, r.item_id, r["rank"]) for r in R.top_items(got, seen).collect()} == want
+
+
+def _held(coded):
+    rows = coded.collect()
+    return R._Items([(np.array(r.ids), r.pack, r.words) for r in sorted(rows, key=lambda r: (r.part, r.ids[0]))])
+
+
+def test_cosines_laid_out_in_turns(spark):
+    """Items are held as whole numbers, some bytes an entry, and laid out some at a time for some users at a time."""
+    items = spark.range(300_000).selectExpr("id % 2000 item_id", "concat('t', ((id % 2000) * 7 + 13 * (id div 2000)) % 997) term", "1 + (id div 2000) % 3 freq")
+    seen = spark.range(3000).selectExpr("id % 30 user_id", "(id * 17) % 2000 item_id")
+    held = _held(R._coded(items))
+    assert held.size.sum() == 300_000 > R._LAID and held.code.nbytes + held.freq.nbytes == 5 * 300_000
+    assert len(R._Targets(held, np.arange(2000), 2000).blocks) > 1
+    m = np.zeros((2000, 997))
+    k = np.arange(150)
+    for i in range(2000):
+        m[i, (i * 7 + 13 * k) % 997] = 1 + k % 3
+    n = np.zeros((30, 2000))
+    for j in range(3000):
+        n[j % 30, j * 17 % 2000] += 1
+    idf, u = np.log10(2000 / ((m > 0).sum(0) + 1)), n @ m
+    told = lambda x: np.where(x > 0, (1 + np.log10(np.maximum(x, 1))) * idf, 0)
+    a, b = told(u), told(m)
+    want = a @ b.T / np.sqrt(a * a @ (b != 0).T) / np.sqrt((a != 0) @ (b * b).T)
+    got = R.similar(items, seen).toPandas()
+    assert len(got) == 60_000 and abs(got["similarity"] - want[got["user_id"], got["item_id"]]).max() < 1e-9
