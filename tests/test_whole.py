@@ -145,3 +145,16 @@ def test_cosines_laid_out_in_turns(spark):
     want = a @ b.T / np.sqrt(a * a @ (b != 0).T) / np.sqrt((a != 0) @ (b * b).T)
     got = R.similar(items, seen).toPandas()
     assert len(got) == 60_000 and abs(got["similarity"] - want[got["user_id"], got["item_id"]]).max() < 1e-9
+
+
+def test_user_terms_by_shelves(spark):
+    """What users meet is packed: no row of a meeting has an item's terms as text, and shelves have terms of their own."""
+    tf, views, items, seen = _viewing(spark)
+    coded = R._coded(items)
+    met = R._met(coded, R._grouped(R._counted(seen), 2), 2, 3, True)
+    assert {"term", "freq", "item_id"}.isdisjoint(met.columns) and met.rdd.getNumPartitions() == 6
+    shelves = [set(_held(coded.where(f"part % 3 = {k}")).terms.to_pylist()) for k in range(3)]
+    assert sum(map(len, shelves)) == len(set.union(*shelves)) == len({t for _, t in tf})
+    held = _held(coded)
+    told = {(i, held.terms[c].as_py()): f for i, at, n in zip(held.ids.tolist(), held.start, held.size) for c, f in zip(held.code[at : at + n].tolist(), held.freq[at : at + n].tolist())}
+    assert told == tf
