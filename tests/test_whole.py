@@ -158,3 +158,12 @@ def test_user_terms_by_shelves(spark):
     held = _held(coded)
     told = {(i, held.terms[c].as_py()): f for i, at, n in zip(held.ids.tolist(), held.start, held.size) for c, f in zip(held.code[at : at + n].tolist(), held.freq[at : at + n].tolist())}
     assert told == tf
+
+
+def test_equal_cosines_of_copies(spark):
+    """Of many copies of an item, only those that may be among a user's best are written."""
+    items = spark.range(50).selectExpr("id item_id", "explode(array('a', 'b')) term", "1L freq").union(spark.createDataFrame([(90, "a", 2)], "item_id long, term string, freq long"))
+    got = R.similar(items, spark.createDataFrame([(1, 0), (2, 90), (None, 90)], "user_id long, item_id long"), 3, 250_000, 7)
+    assert got.count() <= 3 * 3 * 8
+    best = {(r.user_id, r["rank"]): r.item_id for r in R.top_items(R.similar(items, spark.createDataFrame([(1, 0)], "user_id long, item_id long"), 3), spark.createDataFrame([(1, 0)], "user_id long, item_id long")).collect()}
+    assert [best[1, k] for k in (1, 2, 3)] == [1, 2, 3]
