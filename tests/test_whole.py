@@ -8,6 +8,7 @@ import numpy as np
 
 from tessera import catalog
 from tessera.functions.sheet import cell, place
+from tessera.operators import mining as X
 from tessera.operators import recommend as R
 from tessera.registry import QUERIES
 
@@ -167,3 +168,14 @@ def test_equal_cosines_of_copies(spark):
     assert got.count() <= 3 * 3 * 8
     best = {(r.user_id, r["rank"]): r.item_id for r in R.top_items(R.similar(items, spark.createDataFrame([(1, 0)], "user_id long, item_id long"), 3), spark.createDataFrame([(1, 0)], "user_id long, item_id long")).collect()}
     assert [best[1, k] for k in (1, 2, 3)] == [1, 2, 3]
+
+
+def test_blocks_of_pairs_are_packed(spark):
+    """A block of ids goes to a pair of blocks as one value, not id by id."""
+    items = spark.range(4000).selectExpr("1L part", "id % 1000 id", "id div 200 feature")
+    rows = X._pair_blocks(items, 100)
+    assert rows.count() == 10 * 10 and "features" not in rows.columns
+    got = X.shared_weights(items, 100)
+    features = {i: {(i + 1000 * k) // 200 for k in range(4)} for i in range(1000)}
+    want = sum(bool(features[a] & features[b]) for a in range(1000) for b in range(a + 1, 1000))
+    assert got.count() == want == got.select("a", "b").distinct().where("a < b").count()
